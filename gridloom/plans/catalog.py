@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from gridloom.plans import curve_queries, grid_queries, series_queries
+
+QUERIES: dict = {**grid_queries.QUERIES, **series_queries.QUERIES, **curve_queries.QUERIES}
+ORACLES: dict[str, str] = {**grid_queries.ORACLES, **series_queries.ORACLES, **curve_queries.ORACLES}

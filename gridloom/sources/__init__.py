@@ -1 +1 @@
-
+"""Images, folders, rule files and manifests as tables."""
