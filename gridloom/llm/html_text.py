@@ -125,7 +125,10 @@ def build(page: str | None) -> tuple[Node, list[str]]:
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    if tag not in BLOCKS and any(x.tag in BLOCKS for x in stack[k + 1 :]):
+                        del stack[k]  # misnested formatting: the blocks inside stay open
+                    else:
+                        del stack[k:]
                     break
                 if stack[k].tag in BARRIERS and tag not in ("table", "tr", "tbody", "thead", "tfoot", *BARRIERS):
                     k = 0
