@@ -72,7 +72,7 @@ def rename(rules: DataFrame, assignments: DataFrame, tier: int, old: str, new: s
     own = rules.where((F.col("tier") < tier) & (F.col("key") == old)).limit(1)
     shadowed = F.broadcast(own.agg(F.count("*").alias("own")))
     changed = rules.withColumn("key", F.when((F.col("tier") == tier) & (F.col("key") == old), F.lit(new)).otherwise(F.col("key")))
-    follow = (F.col("key") == old) & ((F.col("tier") == tier) | (F.col("own") == 0))
+    follow = (F.col("key") == old) & ((F.col("tier") == tier) | (F.col("tier") < tier) & (F.col("own") == 0))
     moved = assignments.join(shadowed, F.lit(True)).withColumn("key", F.when(follow, F.lit(new)).otherwise(F.col("key"))).drop("own")
     return changed, moved
 
