@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 from .common import ship, table
 
 K = 20
-CANDIDATES = 1 << 16
-QUERIES = 1 << 12
+CANDIDATES = 1 << 14
+QUERIES = 1 << 9
 EXACT = float(2**53)
 
 
@@ -35,7 +35,7 @@ class Lists:
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[by_id], np.ascontiguousarray(vectors[by_id])
         self.order = np.ascontiguousarray(np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32))
-        self.seen = np.zeros(len(ids), bool)
+        self.seen, self.mark = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
 
     def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of the k best rows with another id, best first."""
@@ -53,11 +53,18 @@ class Lists:
                 read = np.concatenate([self.order[d, n - upto : n - depth] if high else self.order[d, depth:upto] for d, high in zip(dims, up, strict=True)])
             else:
                 read = np.arange(depth, upto)
-            fresh = np.unique(read[~self.seen[read]])
+            self.mark[:] = False
+            self.mark[read] = True
+            fresh = np.flatnonzero(self.mark & ~self.seen)
             self.seen[fresh] = True
+            rest = n - int(np.count_nonzero(self.seen))
+            if rest < n // 2:  # the lists overlap so much that reading on meets few new rows: the rest is read at once
+                fresh = np.concatenate([fresh, np.flatnonzero(~self.seen)])
+                self.seen[:] = True
+                upto = n
             if len(fresh):
                 top = np.concatenate([top, fresh])
-                scores = np.concatenate([scores, self.vectors[fresh] @ query])
+                scores = np.concatenate([scores, (self.vectors @ query)[fresh] if len(fresh) > n // 4 else self.vectors[fresh] @ query])
                 if len(top) > k:
                     edge = np.partition(scores, len(scores) - k)[len(scores) - k]
                     near = np.flatnonzero(scores >= edge)
@@ -97,7 +104,10 @@ def search(vectors: DataFrame, is_query, k: int = K, scale: float = 64.0, candid
         if not q.num_rows or not c.num_rows:
             return schema.empty_table()
         asked, rows = _integers(q["v"], scale), _integers(c["v"], scale)
-        if np.abs(asked).max() * np.abs(rows).max() * asked.shape[1] >= EXACT:  # floats would round: Python's integers
+        most = np.abs(asked).max() * np.abs(rows).max() * asked.shape[1]
+        if most < 2.0**24:
+            asked, rows = asked.astype(np.float32), rows.astype(np.float32)
+        elif most >= EXACT:  # floats would round: Python's integers
             asked, rows = (np.array([[int(x) for x in r] for r in m], object) for m in (asked, rows))
         lists = Lists(c["vec_id"].to_numpy(), rows)
         out: list[list[np.ndarray]] = [[], [], []]
