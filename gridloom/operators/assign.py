@@ -33,7 +33,7 @@ def nearest_color(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     return found.withColumn("best", F.array_min(each)).select(*pixels.columns, F.col("best.idx").alias("idx"), F.col("best.d2").alias("d2"))
 
 
-def constrained_nearest(targets: DataFrame, sources: DataFrame, scale: int, cost: Column) -> DataFrame:
+def constrained_nearest(targets: DataFrame, sources: DataFrame, scale: int, cost: Column, by: Sequence[str] = ()) -> DataFrame:
     """targets (x, y, ...), each with the idx of least cost among the 3 x 3 source cells (x, y, idx) around its own.
 
     A target lies over the source cell (x div scale, y div scale). Equal costs go to the cell met first, row by row.
@@ -43,8 +43,8 @@ def constrained_nearest(targets: DataFrame, sources: DataFrame, scale: int, cost
     columns = [c for c in targets.columns if c != "idx"]
     asked = targets.select(*columns).withColumn("s", around)
     asked = asked.withColumn("sx", F.floor(F.col("x") / scale) + F.col("s.dx")).withColumn("sy", F.floor(F.col("y") / scale) + F.col("s.dy"))
-    given = sources.select(F.col("x").cast("long").alias("sx"), F.col("y").cast("long").alias("sy"), "idx").where("idx is not null")
-    joined = asked.join(given, ["sx", "sy"], "left")
+    given = sources.select(*by, F.col("x").cast("long").alias("sx"), F.col("y").cast("long").alias("sy"), "idx").where("idx is not null")
+    joined = asked.join(given, [*by, "sx", "sy"], "left")
     best = F.min_by("idx", F.when(F.col("idx").isNotNull(), F.struct(cost.alias("cost"), F.col("s.place").alias("place"))))
     return joined.groupBy(*columns).agg(best.alias("idx"))
 

@@ -15,8 +15,8 @@ from gridloom.operators import grid
 
 
 def boundary_edges(cells: DataFrame, label: str = "region") -> DataFrame:
-    """Directed unit edges around each label's cells, the cells on their right: label, x0, y0, x1, y1."""
-    sides = grid.beside(cells.select("x", "y", label), label).where(F.col("other").isNull() | (F.col("other") != F.col(label)))
+    """Directed unit edges around each label's cells, the cells on their right: label, x0, y0, x1, y1. Labels may overlap."""
+    sides = grid.beside(cells.select("x", "y", label, F.lit(True).alias("on")), "on", [label]).where(F.col("other").isNull())
     dx, dy = F.col("nx") - F.col("x"), F.col("ny") - F.col("y")
     x0 = F.when(dy == -1, F.col("x")).when(dx == 1, F.col("x") + 1).when(dy == 1, F.col("x") + 1).otherwise(F.col("x"))
     y0 = F.when(dy == -1, F.col("y")).when(dx == 1, F.col("y")).when(dy == 1, F.col("y") + 1).otherwise(F.col("y") + 1)

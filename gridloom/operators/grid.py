@@ -104,10 +104,13 @@ def regions(cells: DataFrame, width: int) -> DataFrame:
     return region_table(region_runs(cells, width))
 
 
-def region_runs(cells: DataFrame, width: int) -> DataFrame:
-    runs = cut(row_runs(cells).withColumn("id", F.col("y").cast("long") * width + F.col("x0")))
-    roots = components(run_links(runs))
-    return runs.join(roots, runs["id"] == roots["node"], "left").select("y", "x0", "x1", "color", F.coalesce("root", "id").alias("region"))
+def region_runs(cells: DataFrame, width: int, by: Sequence[str] = ()) -> DataFrame:
+    """Runs with their region; regions of different images may have equal numbers."""
+    at = F.col("y").cast("long") * width + F.col("x0")
+    runs = cut(row_runs(cells, by).withColumn("id", F.struct(*by, at.alias("at")) if by else at))
+    roots = components(run_links(runs, by))
+    root = F.coalesce("root", "id")
+    return runs.join(roots, runs["id"] == roots["node"], "left").select(*by, "y", "x0", "x1", "color", (root["at"] if by else root).alias("region"))
 
 
 def region_table(runs: DataFrame) -> DataFrame:
@@ -118,8 +121,67 @@ def region_table(runs: DataFrame) -> DataFrame:
     )
 
 
-def region_cells(runs: DataFrame) -> DataFrame:
-    return runs.select(F.explode(F.sequence("x0", "x1")).alias("x"), "y", "color", "region")
+def region_cells(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return runs.select(*by, F.explode(F.sequence("x0", "x1")).alias("x"), "y", "color", "region")
+
+
+def rim_residue(cells: DataFrame, label: str, ink: Column, thin: float = 2.0, most: int = 100, share: float = 0.25, least_contact: float = 0.6) -> DataFrame:
+    """Thin chips on the rim that mostly touch ink: label and the ink neighbour each joins.
+
+    A chip faces nothing somewhere, has at most ``most`` cells and ``share`` of all, mean thickness up to ``thin``, is no ink itself.
+    """
+    sizes = perimeters(cells, label)
+    whole = cells.agg(F.count("*").alias("whole"))
+    kind = cells.groupBy(label).agg(F.bool_or(ink).alias("own_ink"))
+    found = sizes.join(kind, label).join(contacts(cells, label, ink), label).join(F.broadcast(whole), F.lit(True))
+    thickness = F.col("area") / (0.5 * F.greatest("perimeter", F.lit(1)))
+    keep = F.col("on_rim") & ~F.col("own_ink") & (F.col("area") <= most) & (F.col("area") <= share * F.col("whole")) & (thickness <= thin)
+    return found.where(keep & F.col("ink_neighbor").isNotNull() & (F.col("ink_contact") >= least_contact * F.col("contact"))).select(label, "ink_neighbor")
+
+
+def soft_cells(cells: DataFrame, label: str, distance: Column) -> DataFrame:
+    """cells (x, y, v: a struct with the label): those beside another label for which a condition on v and other holds, so where a border has slack."""
+    return beside(cells, "v").where(F.col("other").isNotNull() & (F.col(f"other.{label}") != F.col(f"v.{label}")) & distance).select("x", "y", F.col(f"v.{label}").alias(label)).distinct()
+
+
+def grown(cells: DataFrame, steps: int, by: Sequence[str] = ()) -> DataFrame:
+    """The cells and all within ``steps`` in both directions (a square neighbourhood), each axis apart."""
+    out = cells.select(*by, "x", "y")
+    for axis in ("x", "y"):
+        out = out.withColumn("d", F.explode(F.sequence(F.lit(-steps), F.lit(steps)))).withColumn(axis, F.col(axis) + F.col("d")).drop("d").distinct()
+    return out
+
+
+def split_layer(cells: DataFrame, width: int, gap: int = 0) -> DataFrame:
+    """x, y and part of one layer's cells: parts are 4-connected once gaps of up to 2 x gap cells are closed."""
+    joined = grown(cells, gap) if gap else cells.select("x", "y")
+    runs = region_runs(joined.select((F.col("x") + gap).alias("x"), (F.col("y") + gap).alias("y"), F.lit(0).alias("color")), width + 2 * gap)
+    parts = region_cells(runs).select((F.col("x") - gap).alias("x"), (F.col("y") - gap).alias("y"), F.col("region").alias("part"))
+    return cells.select("x", "y").join(parts, ["x", "y"])
+
+
+def lowest_around(cells: DataFrame, value: str, steps: int = 1) -> DataFrame:
+    """A minimum filter: the least value in the square neighbourhood."""
+    sides = [(dx, dy) for dx in range(-steps, steps + 1) for dy in range(-steps, steps + 1)]
+    return beside(cells.select("x", "y", value), value, sides=sides).groupBy("x", "y").agg(F.min("other").alias(value))
+
+
+def upsampled(cells: DataFrame, scale: int, threshold: int, by: Sequence[str] = ()) -> DataFrame:
+    """Premultiplied bilinear enlargement (x, y, r, g, b, a): alpha first, colours only where it reaches the threshold.
+
+    Each source cell gives its weighted part to the scaled cells it reaches, and the parts are summed before the shuffle.
+    """
+    k = F.col("k")
+    reach = F.explode(F.sequence(F.lit(0), F.lit(2 * scale - 1)))
+    out = cells
+    for axis in ("x", "y"):
+        place = F.col(axis) * scale - F.lit(scale) + F.floor(F.lit(scale) / 2) + k
+        weight = 1 - F.abs((place + 0.5) / scale - (F.col(axis) + 0.5))
+        out = out.withColumn("k", reach).withColumn(f"w{axis}", weight).withColumn(axis, place.cast("int")).where(F.col(f"w{axis}") > 0).drop("k")
+    w = F.col("wx") * F.col("wy") * F.col("a")
+    out = out.where("x >= 0 and y >= 0").groupBy(*by, "x", "y").agg(F.sum(w).alias("sa"), *(F.sum(w * F.col(c)).alias(f"s{c}") for c in "rgb"))
+    out = out.where(F.floor(F.col("sa") + 0.5) >= threshold)
+    return out.select(*by, "x", "y", *(F.floor(F.col(f"s{c}") / F.col("sa") + 0.5).cast("int").alias(c) for c in "rgb"), F.lit(255).alias("a"))
 
 
 def depth(cells: DataFrame, label: str = "color", most: int = 10_000) -> DataFrame:

@@ -197,3 +197,30 @@ def document_svg(spark, d):
 def gated_parts(spark, d):
     e = F.col("event_id")
     return gate.gated(table(spark, d, "events").select(F.col("user_id").alias("doc"), e.alias("seq"), (F.floor(e / 1000) + e % 2).alias("generation")))
+
+
+@query("layer_parts", """WITH RECURSIVE m AS (SELECT CAST(p_partkey % 50 AS INT) AS x, CAST(p_partkey // 50 AS INT) AS y FROM part WHERE p_size > 30), r(x, y, ox, oy) AS (
+SELECT x, y, x, y FROM m UNION SELECT r.x, r.y, m.x, m.y FROM r JOIN m ON abs(m.x - r.ox) + abs(m.y - r.oy) = 1)
+SELECT x, y, CAST(min(oy * 50 + ox) AS BIGINT) AS part FROM r GROUP BY x, y""")
+def layer_parts(spark, d):
+    return grid.split_layer(table(spark, d, "part").where("p_size > 30").selectExpr("int(p_partkey % 50) as x", "int(floor(p_partkey / 50)) as y"), 50)
+
+
+@query("minimum_filter", """WITH m AS (SELECT CAST(p_partkey % 50 AS INT) AS x, CAST(p_partkey // 50 AS INT) AS y, p_size FROM part)
+SELECT a.x, a.y, min(b.p_size) AS p_size FROM m a JOIN m b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 GROUP BY a.x, a.y""")
+def minimum_filter(spark, d):
+    return grid.lowest_around(table(spark, d, "part").selectExpr("int(p_partkey % 50) as x", "int(floor(p_partkey / 50)) as y", "p_size"), "p_size")
+
+
+@query("rim_residue")
+def rim_residue(spark, d):
+    cells = table(spark, d, "part").where("p_size > 8").selectExpr("int(p_partkey % 50) as x", "int(floor(p_partkey / 50)) as y", "p_size as label")
+    return grid.rim_residue(cells, "label", F.col("label") < 30, thin=3.0, most=1000)
+
+
+@query("traced_images")
+def traced_images(spark, d):
+    from gridloom.plans import trace
+
+    images = _images(spark, d).withColumn("a", F.lit(255))
+    return trace.counts(trace.trace(images, trace.Settings(width=64)))
