@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from .common import ship, table
+from .common import cut, ship, table
 
 BLOCK = 1024
 
@@ -101,4 +101,4 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(lengths(table(spark, sf_dir, "documents"))))
+    return suffix_sums(cut(histogram(lengths(table(spark, sf_dir, "documents")))))
