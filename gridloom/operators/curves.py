@@ -120,6 +120,75 @@ def smooth(points: np.ndarray, fixed: np.ndarray, radius: float) -> np.ndarray:
     return out
 
 
+def corners_open(points: np.ndarray, threshold: float, arm: float) -> np.ndarray:
+    """Corners of an open chain, its ends excluded: as ``corners``, but arms stop at the ends."""
+    n = len(points)
+    if n < 3:
+        return np.zeros(0, int)
+    at = np.concatenate([[0], np.cumsum(np.linalg.norm(np.diff(points, axis=0), axis=1))])
+    turn = np.zeros(n)
+    for i in range(1, n - 1):
+        a = max(0, int(np.searchsorted(at, at[i] - arm, "right")) - 1)
+        b = min(n - 1, int(np.searchsorted(at, at[i] + arm, "left")))
+        u, v = points[i] - points[a], points[b] - points[i]
+        size = np.linalg.norm(u) * np.linalg.norm(v)
+        turn[i] = np.arccos(np.clip(u @ v / size, -1, 1)) if size > 0 else 0.0
+    out, run = [], []
+    for i in range(1, n):
+        if i < n - 1 and turn[i] >= threshold:
+            run.append(i)
+        elif run:
+            out.append(max(run, key=lambda j: turn[j]))
+            run = []
+    return np.array(out, int)
+
+
+def smooth_open(points: np.ndarray, fixed: np.ndarray, radius: float) -> np.ndarray:
+    """Arc-length window means along an open chain; ends and fixed points stay, and the window shrinks to the nearest of them."""
+    n = len(points)
+    if n < 3 or radius <= 0:
+        return points.copy()
+    at = np.concatenate([[0], np.cumsum(np.linalg.norm(np.diff(points, axis=0), axis=1))])
+    held = at[np.unique(np.concatenate([[0, n - 1], np.asarray(fixed, int)]))]
+    out = points.copy()
+    for i in range(n):
+        reach = min(radius, np.abs(held - at[i]).min())
+        if reach > 0:
+            out[i] = points[np.abs(at - at[i]) <= reach].mean(axis=0)
+    return out
+
+
+def clearance(points: np.ndarray, others: np.ndarray) -> float:
+    """Least distance of the points to the segments (n, 2, 2) of other paths, infinite without any."""
+    if not len(others):
+        return float("inf")
+    a, d = others[:, 0], others[:, 1] - others[:, 0]
+    size = np.maximum((d * d).sum(1), 1e-12)
+    t = np.clip(((points[:, None] - a) * d).sum(2) / size, 0, 1)
+    return float(np.sqrt((((points[:, None] - a - t[..., None] * d) ** 2).sum(2)).min()))
+
+
+def narrow_places(points: np.ndarray) -> np.ndarray:
+    """For each ring point the index of the nearest other point that is more than twice as far along the ring as straight, -1 for none."""
+    n = len(points)
+    steps = np.linalg.norm(np.roll(points, -1, 0) - points, axis=1)
+    at = np.concatenate([[0], np.cumsum(steps)[:-1]])
+    along = np.abs(at[:, None] - at[None])
+    along = np.minimum(along, steps.sum() - along)
+    straight = np.linalg.norm(points[:, None] - points[None], axis=2)
+    straight = np.where((along > 2 * straight) & ~np.eye(n, dtype=bool), straight, np.inf)
+    best = straight.argmin(axis=1)
+    return np.where(np.isfinite(straight.min(axis=1)), best, -1)
+
+
+def simplify_clear(cubics: list[np.ndarray], others: np.ndarray, tolerance: float, threshold: float, keep: float = 0.5) -> list[np.ndarray]:
+    """``simplify``, undone where it takes more than half of 1 - keep of the distance to other paths."""
+    before = clearance(np.vstack([bezier(c, np.linspace(0, 1, 9)) for c in cubics]), others)
+    out = simplify(cubics, tolerance, threshold)
+    after = clearance(np.vstack([bezier(c, np.linspace(0, 1, 9)) for c in out]), others)
+    return out if not np.isfinite(before) or after >= (1 + keep) / 2 * before else cubics
+
+
 def bezier(p: np.ndarray, t: np.ndarray) -> np.ndarray:
     t = np.asarray(t)[:, None]
     u = 1 - t

@@ -233,6 +233,39 @@ def test_rings_and_curves(spark):
     assert curves.smooth(triangle, np.arange(3), 50.0).tolist() == triangle.tolist()
 
 
+def test_open_chains_and_clearance():
+    bend = np.array([[0, 0], [2, 0], [4, 0], [4, 2], [4, 4.0]])
+    assert curves.corners_open(bend, 0.5, 2.0).tolist() == [2] and curves.corners_open(bend[:3], 0.5, 2.0).tolist() == []
+    out = curves.smooth_open(bend, np.array([2]), 10.0)
+    assert out[[0, 2, 4]].tolist() == bend[[0, 2, 4]].tolist()
+    assert curves.clearance(np.array([[0, 3.0]]), np.array([[[-5, 0], [5, 0.0]]])) == 3.0 and curves.clearance(bend, np.zeros((0, 2, 2))) == math.inf
+    hair = np.array([[k, 0] for k in range(10)] + [[k, 1] for k in range(9, -1, -1)], float)
+    near = curves.narrow_places(hair)
+    assert near[2] == 17 and near[0] == -1
+    ring = np.array([[0, 0], [10, 0], [10, 0.5], [10, 10], [0, 10.0]])
+    cubics = [np.array([a, a + (b - a) / 3, b - (b - a) / 3, b]) for a, b in zip(ring, np.roll(ring, -1, 0), strict=True)]
+    wall = np.array([[[10.2, -5], [10.2, 15.0]]])
+    assert len(curves.simplify_clear(cubics, wall, 0.4, 3.0)) <= len(cubics)
+
+
+def test_incremental_cache(spark, tmp_path):
+    from gridloom.plans.incremental import through_cache
+
+    asked = []
+
+    def double(df):
+        asked.append(df.count())
+        return df.select("k", (F.col("v") * 2).alias("w"))
+
+    rows = spark.createDataFrame([(1, 5), (2, 6)], "k int, v int")
+    more = spark.createDataFrame([(1, 5), (2, 7), (3, 8)], "k int, v int")
+    path = str(tmp_path / "cache")
+    assert sorted(table(through_cache(rows, ["k"], ["v"], path, double).select("k", "w"))) == [(1, 10), (2, 12)]
+    assert sorted(table(through_cache(more, ["k"], ["v"], path, double).select("k", "w"))) == [(1, 10), (2, 14), (3, 16)]
+    assert sorted(table(through_cache(more, ["k"], ["v"], path, double).select("k", "w"))) == [(1, 10), (2, 14), (3, 16)]
+    assert asked == [2, 2]
+
+
 def test_geometry_columns(spark):
     p = lambda x, y: G.point(F.lit(x), F.lit(y))
     one = spark.range(1)
