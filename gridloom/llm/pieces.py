@@ -2,8 +2,9 @@
 
 The vocabulary's pieces over a text form a lattice. A forward Viterbi pass gives each place its best score from the
 start; a backward A-star search from the end uses these as exact heuristics, so paths leave it in order of score. As no
-piece has a space mark after another character, the lattice falls into chunks (space marks and what follows them): each
-distinct chunk's best path and the second best score come from one forward pass and are kept in a bounded cache. The N
+piece has a space mark after another character, nor a line feed, the lattice falls into chunks (space marks and what
+follows them): each distinct chunk's best path and the second best score come from one forward pass, in which chunks
+share what they begin with, and are kept in a cache (CACHE chunks and one block's new ones at most). The N
 best of the text are the N least sums of the chunks' losses; they can only deviate in the N - 1 chunks that lose least by
 their second best, and only those are searched backward. A vocabulary that breaks the rule is searched as one lattice.
 
@@ -34,26 +35,29 @@ from .common import ship, table
 MARK = "▁"
 UNKNOWN = 10.0
 N_BEST = 3
-CACHE = 400_000
-_CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+CACHE = 1_000_000
+_CHUNK = re.compile(f"{MARK}*[^{MARK}\\n]+|{MARK}+|\\n+")
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
 class Vocabulary:
     def __init__(self, pieces: list[tuple[str, float, str]]):
         """pieces: (text, score, kind) by id; kind is piece, byte or other (never used)."""
-        self.nodes: dict[str, tuple | None] = {}
+        self.nodes: dict[str, tuple | None] = {}  # pieces, and None for what only begins some
+        self.tails: dict[str, tuple | None] = {}  # pieces, and None for what only ends some
         self.bytes_ = {int(_BYTE.fullmatch(t)[1], 16): i for i, (t, _, kind) in enumerate(pieces) if kind == "byte"}
         self.raw = [bytes([int(_BYTE.fullmatch(t)[1], 16)]) if kind == "byte" else t.encode() if kind == "piece" else b"" for t, _, kind in pieces]
         for i, (t, s, kind) in enumerate(pieces):
             if kind == "piece":
                 for k in range(1, len(t)):
                     self.nodes.setdefault(t[:k], None)
-                self.nodes[t] = ((i,), s)
+                    self.tails.setdefault(t[k:], None)
+                self.nodes[t] = self.tails[t] = ((i,), s)
         usable = [s for _, s, kind in pieces if kind == "piece"]
         self.unknown = min((s for s in usable if s > -1e8), default=0.0) - UNKNOWN
-        self.chunks = all(MARK not in t.lstrip(MARK) for t, _, kind in pieces if kind == "piece")
+        self.chunks = all(MARK not in t.lstrip(MARK) and "\n" not in t for t, _, kind in pieces if kind == "piece")
         self.cache: dict[str, tuple] = {}
+        self.several: dict[tuple[str, int], list] = {}
 
     def paths(self, text: str) -> Iterator[tuple[float, tuple[int, ...]]]:
         """(score, ids) of the segmentations of a non-empty text, best first."""
@@ -88,66 +92,97 @@ class Vocabulary:
             for start, (ids_, score) in into[end]:
                 heappush(heap, (-(best[start] + done + score), next(ticket), start, done + score, (ids_, tail)))
 
-    def chunk(self, text: str) -> tuple[float, tuple[int, ...], float]:
-        """Best score, its ids, and how much the second best loses: one forward pass that carries the two best scores."""
-        n, nodes = len(text), self.nodes
-        low = float("-inf")
-        best, second, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
-        best[0] = 0.0
-        for i in range(n):
-            at, next_ = best[i], second[i]
-            alone = True
-            for j in range(i + 1, n + 1):
-                found = nodes.get(text[i:j], 0)
-                if not found:
-                    if found is None:
-                        continue
+    def ways(self, text: str, n_best: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The best paths of a chunk, kept as well."""
+        found = self.several.get((text, n_best))
+        if found is None:
+            if len(self.several) >= CACHE // 10:
+                self.several.clear()
+            found = self.several[text, n_best] = list(islice(self.paths(text), n_best))
+        return found
+
+    def learn(self, texts) -> None:
+        """Put best score, its ids, and how much the second best loses of each text into the cache.
+
+        The texts are taken in order, so that each goes on from the places it has in common with the one before: at each
+        further place the pieces that end there are found by growing them to the left.
+        """
+        tails, cache, unknown, low = self.tails, self.cache, self.unknown, float("-inf")
+        before, best, second, ids = "", [0.0], [low], [()]
+        for text in sorted(texts):
+            k = 0
+            for x, y in zip(before, text):  # noqa: B905
+                if x != y:
                     break
-                if j == i + 1:
-                    alone = False
-                score = found[1]
-                x, now = at + score, best[j]
-                if x > now:
-                    y = next_ + score
-                    best[j], second[j], back[j] = x, now if now > y else y, (i, found[0])
-                elif x > second[j]:
-                    second[j] = x
-            if alone:
-                x, now, y = at + self.unknown, best[i + 1], next_ + self.unknown
-                if x > now:
-                    best[i + 1], second[i + 1], back[i + 1] = x, max(now, y), (i, self.as_bytes(text[i]))
-                elif x > second[i + 1]:
-                    second[i + 1] = x
-        parts, end = [], n
-        while end:
-            end, ids = back[end]
-            parts.append(ids)
-        parts.reverse()
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        self.cache[text] = out = (best[n], tuple(chain.from_iterable(parts)), best[n] - second[n])
-        return out
+                k += 1
+            del best[k + 1 :], second[k + 1 :], ids[k + 1 :]
+            for end in range(k + 1, len(text) + 1):
+                now = next_ = low
+                way = ()
+                for start in range(end - 1, -1, -1):
+                    found = tails.get(text[start:end], 0)
+                    if found == 0:
+                        if start != end - 1:
+                            break
+                        found = None
+                    if found is None:
+                        if start != end - 1:
+                            continue
+                        found = (self.as_bytes(text[start]), unknown)
+                        stop = text[start] not in tails
+                    else:
+                        stop = False
+                    score = found[1]
+                    x = best[start] + score
+                    if x > now:
+                        y = second[start] + score
+                        now, next_, way = x, now if now > y else y, ids[start] + found[0]
+                    elif x > next_:
+                        next_ = x
+                    if stop:
+                        break
+                best.append(now)
+                second.append(next_)
+                ids.append(way)
+            cache[text] = (best[-1], ids[-1], best[-1] - second[-1])
+            before = text
 
     def as_bytes(self, c: str) -> tuple[int, ...]:
         return tuple(self.bytes_.get(b, 0) for b in c.encode("utf-8", "surrogatepass"))
 
-    def encode(self, text: str | None, n_best: int = 1) -> list[tuple[float, array]]:
+    def parts(self, text: str | None) -> list[str]:
+        """The chunks of a text, with its spaces marked."""
+        if not text:
+            return []
+        marked = MARK + text.replace(" ", MARK)
+        return _CHUNK.findall(marked) if self.chunks else [marked]
+
+    def encode_many(self, texts: list[str | None], n_best: int = 1) -> Iterator[list[tuple[float, array]]]:
+        """``encode`` for several texts, whose new chunks are learnt together."""
+        parts = [self.parts(t) for t in texts]
+        if len(self.cache) >= CACHE:
+            self.cache.clear()
+        self.learn({p for x in parts for p in x if p not in self.cache})
+        for text, found in zip(texts, parts, strict=True):
+            yield self.encode(text, n_best, found)
+
+    def encode(self, text: str | None, n_best: int = 1, parts: list[str] | None = None) -> list[tuple[float, array]]:
         """(score, ids) of at most n_best segmentations of the text, best first."""
         if not text:
             return [(0.0, array("I"))]
-        marked = MARK + text.replace(" ", MARK)
-        parts = _CHUNK.findall(marked) if self.chunks else [marked]
         cache = self.cache
-        found = [cache.get(p) or self.chunk(p) for p in parts]
-        score = sum(f[0] for f in found)
-        ids = [f[1] for f in found]
+        if parts is None:
+            parts = self.parts(text)
+            self.learn({p for p in parts if p not in cache})
+        scores, ids, losses = zip(*[cache[p] for p in parts], strict=True)
+        score = sum(scores)
         out = [(score, array("I", chain.from_iterable(ids)))]
         if n_best > 1:
             sums: list[tuple[float, tuple]] = [(0.0, ())]
-            for k in nsmallest(n_best - 1, range(len(found)), key=lambda k: found[k][2]):
-                if found[k][2] == float("inf"):
+            for loss, k in nsmallest(n_best - 1, zip(losses, range(len(losses)), strict=True)):
+                if loss == float("inf"):
                     break
-                ways = list(islice(self.paths(parts[k]), n_best))
+                ways = self.ways(parts[k], n_best)
                 sums = nsmallest(n_best, ((loss + ways[0][0] - s, (*taken, (k, way)) if r else taken) for loss, taken in sums for r, (s, way) in enumerate(ways)), key=lambda x: x[0])
             for loss, taken in sums[1:]:
                 own = dict(taken)
@@ -156,7 +191,7 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         raw = self.raw
-        return b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")[1:]
+        return b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
 @lru_cache(maxsize=2)
@@ -185,7 +220,7 @@ def segment(docs: DataFrame, n_best: int = N_BEST, path: str | None = None) -> D
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                found = [[{"score": s, "ids": i} for s, i in words.encode(t, n_best)] for t in part.column("text").to_pylist()]
+                found = [[{"score": s, "ids": i} for s, i in ways] for ways in words.encode_many(part.column("text").to_pylist(), n_best)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(way))], ["doc_id", "text", "ways"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, ways array<struct<score: double, ids: array<int>>>")
@@ -198,14 +233,16 @@ def digests(docs: DataFrame, n_best: int = N_BEST, path: str | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load(path)
-        for b in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for text in b.column("text").to_pylist():
-                ways = words.encode(text, n_best)
-                for column, x in zip(out, (len(ways), [s for s, _ in ways], [len(i) for _, i in ways], [zlib.crc32(i.tobytes()) for _, i in ways], words.decode(ways[0][1]) == (text or "").replace(MARK, " ")), strict=True):
-                    column.append(x)
-            kinds = [pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "n_ways", "scores", "n_pieces", "ids_crc32", "round_trip"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                out: list[list] = [[] for _ in range(5)]
+                texts = b.column("text").to_pylist()
+                for text, ways in zip(texts, words.encode_many(texts, n_best), strict=True):
+                    for column, x in zip(out, (len(ways), [s for s, _ in ways], [len(i) for _, i in ways], [zlib.crc32(i.tobytes()) for _, i in ways], words.decode(ways[0][1]) == (text or "").replace(MARK, " ")), strict=True):
+                        column.append(x)
+                kinds = [pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "n_ways", "scores", "n_pieces", "ids_crc32", "round_trip"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ways int, scores array<double>, n_pieces array<long>, ids_crc32 array<long>, round_trip boolean")
 
