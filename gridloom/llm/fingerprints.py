@@ -143,10 +143,20 @@ def next_documents(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame
     if before:
         at = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
         sent = F.when(F.element_at(at, key).isNotNull(), F.concat(sent, F.array(F.struct(F.element_at(at, key).alias("part"), F.lit(1).alias("ahead"))))).otherwise(sent)
-    rows = docs.select("doc_id", "text", F.explode(sent).alias("to")).select(F.col("to.part").alias("part"), F.col("to.ahead").alias("ahead"), "doc_id", "text")
+    rows = docs.select("doc_id", "text", F.explode(sent).alias("to")).select(F.element_at(F.lit(_keys_for(spark, parts)), F.col("to.part").cast("int") + 1).cast("long").alias("part"), F.col("to.ahead").alias("ahead"), "doc_id", "text")
     return rows.repartition(parts, "part").sortWithinPartitions("part", "ahead", "doc_id", "text"), parts
 
 
+def _keys_for(spark, parts: int) -> list[int]:
+    """For each of the partitions a number that Spark's hash partitioning sends there, so that each holds one range."""
+    tried, found = 64 * parts, {}
+    while len(found) < parts:
+        rows = spark.range(tried).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("to")).agg(F.min("id").alias("id")).collect()
+        found = {to: id_ for to, id_ in rows}
+        tried *= 4
+    return [found[k] for k in range(parts)]
+
+
 def with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Pairs ((doc_id, text), (doc_id, text) of the successor) from sorted rows of next_documents."""
     part = waiting = None
