@@ -6,8 +6,9 @@
    shapes the order) last and sorts the rest by hash. If two sets reach the threshold, the first n - ceil(t n) + 1
    shingles of either share one; a second pass emits those, and one shuffle keeps the ones that two sets have.
 3. Pairs to compare: first each set with one leader of the shingle (the set with fewest rare shingles), which ties a
-   group of near copies together without its pairs; then, for the shingles whose sets aren't all in one component yet, the
-   pairs across components. Size and position bounds drop pairs that can't reach the threshold.
+   group of near copies together without its pairs; then, for the shingles whose sets aren't all in one component yet,
+   the pairs across components. Sizes, places and the number of shared prefix shingles rule out pairs that can't reach the
+   threshold before any set is moved.
 4. The order is cut into FRAGMENTS; a third pass deals each compared set's shingles into them, the overlaps of a pair are
    counted in each fragment apart and summed per pair. Links are the pairs with 100 |A & B| >= 80 |A | B|, exactly.
 5. Components of the links, then least doc_id of each.
@@ -43,6 +44,12 @@ def _sid(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _profile(width: int):
     """(doc_id, sid, n, null, null) for each document; (null, null, null, shingle, times) for those that recur in a task."""
     schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64()), ("times", pa.int64())])
@@ -51,6 +58,7 @@ def _profile(width: int):
         held: list[np.ndarray] = []
         size = 0
         known: set[int] = set()
+        batches = _slices(batches)
 
         def recurring() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(held), return_counts=True)
@@ -84,7 +92,7 @@ def _prefixes(width: int, percent: int, hot: np.ndarray, ranks: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_, order = hot.value, ranks.value
         known: set[int] = set()
-        for b in batches:
+        for b in _slices(batches):
             columns: list[list[np.ndarray]] = [[] for _ in range(5)]
             for found in words.shingles_of(b.column("text").to_pylist(), width):
                 n = len(found)
@@ -160,7 +168,7 @@ def _fragments(width: int, fragments: int, bits, power: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(bits.value, np.uint8)
         known: set[int] = set()
-        for b in batches:
+        for b in _slices(batches):
             out: list[list] = [[], [], []]
             for found in words.shingles_of(b.column("text").to_pylist(), width):
                 if not len(found) or (sid := _sid(found)) in known:
@@ -189,14 +197,38 @@ def _enough(percent: int, na: str, nb: str):
 
 
 def _possible(percent: int, na: str, pa_: str, nb: str, pb: str):
-    """Not ruled out by sizes, nor by what can follow a first common shingle at these positions.
+    """Not ruled out by sizes, nor by the places of a common shingle: at most min(pa, pb) common ones lie before it.
 
-    Only common shingles from here on are counted, so the bound holds for the first common one; the pair's other common
-    shingles may be ruled out by it, but never the first.
+    Linked sets pass at each of their common shingles.
     """
     small, large = F.least(na, nb), F.greatest(na, nb)
-    rest = F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb))
-    return (F.lit(100) * small >= F.lit(percent) * large) & (rest >= _enough(percent, na, nb))
+    most = F.least(pa_, pb) + F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb))
+    return (F.lit(100) * small >= F.lit(percent) * large) & (most >= _enough(percent, na, nb))
+
+
+def _counted(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (a, na, pa, b, nb, pb), one for each common shingle of two prefixes: the pairs that may reach the threshold.
+
+    Of the set whose prefix ends first in the order all common shingles up to there are counted, and what follows its
+    prefix (n - p = ceil(t n) - 1) bounds the rest; nothing common lies before the first row's places.
+    """
+    pairs = rows.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
+    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    need = _enough(percent, "na", "nb")
+    return pairs.where((F.col("met") + _after(percent) >= need) & (rest >= need)).select("a", "b", "na", "nb")
+
+
+def _after(percent: int):
+    """How many shingles of the larger set can lie behind its prefix."""
+    return F.ceil(F.lit(percent) * F.greatest("na", "nb") / F.lit(100)) - 1
+
+
+def _by_prefixes(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose prefixes (sid, shingle) have enough in common, as in _counted; one row a pair throughout."""
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    keys = prefixes.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.collect_set("shingle").alias("keys"))
+    both = pairs.join(keys.select(F.col("sid").alias("a"), F.col("keys").alias("ka")), "a").join(keys.select(F.col("sid").alias("b"), F.col("keys").alias("kb")), "b")
+    return both.where(F.size(F.array_intersect("ka", "kb")) + _after(percent) >= _enough(percent, "na", "nb")).select("a", "b", "na", "nb")
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, width: int, fragments: int) -> DataFrame:
@@ -205,10 +237,12 @@ def overlaps(docs: DataFrame, pairs: DataFrame, width: int, fragments: int) -> D
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     bits, power = hashed_bits(wanted, "sid", wanted.count())
     parts = docs.select("text").mapInArrow(_fragments(width, fragments, spark.sparkContext.broadcast(bits), power), "fragment long, sid long, part array<long>")
-    parts = cut(parts.join(wanted, "sid", "left_semi").dropDuplicates(["fragment", "sid"]))
+    # One exchange serves both joins; neither the semi join with wanted nor a checkpoint would move these rows less.
+    parts = parts.repartition("fragment", "sid").dropDuplicates(["fragment", "sid"])
+    asked = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)).cast("array<long>")))
     left = parts.select("fragment", F.col("sid").alias("a"), F.col("part").alias("part_a"))
     right = parts.select("fragment", F.col("sid").alias("b"), F.col("part").alias("part_b"))
-    counted = pairs.join(left, "a").join(right, ["fragment", "b"]).select("a", "b", "na", "nb", F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("common"))
+    counted = asked.join(left, ["fragment", "a"]).join(right, ["fragment", "b"]).select("a", "b", "na", "nb", F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("common"))
     return counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("overlap"))
 
 
@@ -244,10 +278,10 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragmen
         found = overlaps(docs, pairs, width, fragments)
         return found.where(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
-    first = cut(ordered(
-        shared.where(F.col("sid") != F.col("lead")).where(_possible(percent, "n", "pos", "lead_n", "lead_pos"))
-        .select(F.col("sid").alias("a"), F.col("lead").alias("b"), F.col("n").alias("na"), F.col("lead_n").alias("nb"))
-    ))
+    # With its leader a set may share more than is counted here; a link missed for that is met across components below.
+    stars = shared.where(F.col("sid") != F.col("lead")).where(_possible(percent, "n", "pos", "lead_n", "lead_pos"))
+    stars = stars.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("lead").alias("b"), F.col("lead_n").alias("nb"), F.col("lead_pos").alias("pb"))
+    first = cut(ordered(_counted(stars, percent)))
     links = cut(linked(first))
     roots = components(links)
 
@@ -256,8 +290,12 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragmen
     open_ = cut(placed.join(several, "shingle", "left_semi"))
     x = open_.select("shingle", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
     y = open_.select("shingle", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
-    across = x.join(y, "shingle").where(F.col("a") < F.col("b")).where(F.col("ra") != F.col("rb")).where(_possible(percent, "na", "pa", "nb", "pb"))
-    second = cut(across.select("a", "b", "na", "nb").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    # Linked sets pass this at their first common shingle; a row for each common one would grow with the square of a group.
+    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    close = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (rest >= _enough(percent, "na", "nb"))
+    across = x.join(y, "shingle").where(F.col("a") < F.col("b")).where(F.col("ra") != F.col("rb")).where(close)
+    across = cut(across.select("a", "b", "na", "nb").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    second = cut(_by_prefixes(across, open_, percent))
     if second.limit(1).count():
         more = cut(linked(second))
         if more.limit(1).count():
