@@ -13,7 +13,7 @@ are one edit apart from each other, and a line that equals a variant is so from
 
 Nulls and odd input: a null text has no lines and stays null; an empty text is one blank line; a null doc_id comes
 first; rows with equal doc_id and text are one document and fare alike; an empty table gives an empty result; other
-columns are kept by ``dedup`` (its own names are prefixed with two underscores while it works).
+columns are kept by ``dedup``, whatever their names.
 """
 
 from __future__ import annotations
@@ -66,13 +66,14 @@ def near_lines(docs: DataFrame, distinct_lines: DataFrame, fuzzy_from: int) -> D
     shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
     wanted = cut(keys.join(shared, "key", "left_semi").select("h", "n").distinct())
 
-    # One text of each such line. A bitmap of at most 64 MB spares the shuffle of most other lines; the semi join is exact.
+    # One text of each such line. A bitmap of at most 64 MB spares the shuffle of most other lines; the join after it is exact
+    # (not a semi join: the optimizer would push that below the bitmap's filter, and so shuffle all lines).
     power = min(max(15, (16 * max(wanted.count(), 1) - 1).bit_length()), 29)
     slot = F.pmod(F.xxhash64("h"), F.lit(1 << power))
     blocks = cut(wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("bits")))
     marked = F.expr("shiftright(int(conv(hex(substring(bits, int(shiftright(slot & 32767, 3)) + 1, 1)), 16, 10)), int(slot & 7)) & 1 = 1")
     texts = _lines(docs).select("line", "h", "n", slot.alias("slot"), F.shiftright(slot, 15).alias("block")).join(F.broadcast(blocks), "block").where(marked)
-    texts = texts.select("h", "n", "line").join(wanted, ["h", "n"], "left_semi").groupBy("h", "n").agg(F.min("line").alias("line"))
+    texts = texts.select("h", "n", "line").join(wanted, ["h", "n"]).groupBy("h", "n").agg(F.min("line").alias("line"))
     texts = cut(texts.join(distinct_lines.select("h", "n", "first"), ["h", "n"]))
 
     pieces = _pieces(texts)
@@ -103,14 +104,16 @@ def dropped_lines(docs: DataFrame, edits: int = 1, fuzzy_from: int = FUZZY_FROM)
 
 
 def dedup(docs: DataFrame, edits: int = 1, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
-    """docs, text without the dropped lines, with n_lines and n_dropped in front of its other columns' names clashing with none."""
+    """docs, text without the dropped lines, with __n_lines and __n_dropped behind their columns."""
     dropped = dropped_lines(docs.select("doc_id", "text"), edits, fuzzy_from).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("drop").alias("__drop"))
-    rows = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["__id"]) & (F.xxhash64(docs["text"]) == dropped["__th"]), "left")
+    rest = [docs[c].alias(str(k)) for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    own = docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *rest).alias("__own"))  # other names can't clash in there
+    rows = own.join(dropped, own["doc_id"].eqNullSafe(dropped["__id"]) & (F.xxhash64(own["text"]) == dropped["__th"]), "left")
     rows = rows.withColumn("__lines", F.split("text", "\n", -1))
     kept = F.expr("array_except(transform(__lines, (x, i) -> bigint(i)), __drop)")
     text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i.cast("int"))), "\n"))
     return rows.select(
-        *(text.alias("text") if c == "text" else docs[c] for c in docs.columns),
+        *(text.alias("text") if c == "text" else F.col(c) if c == "doc_id" else F.col("__own").getField(str(k)).alias(c) for k, c in enumerate(docs.columns)),
         F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("__n_lines"),
         F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("__n_dropped"),
     )
