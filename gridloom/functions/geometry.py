@@ -42,10 +42,15 @@ def bezier_point(p0: Column, p1: Column, p2: Column, p3: Column, t: Column) -> C
     return point(*(sum(k * p[c] for k, p in zip(w, (p0, p1, p2, p3), strict=True)) for c in ("x", "y")))
 
 
-def sample_cubic(p0: Column, p1: Column, p2: Column, p3: Column) -> Column:
-    """k + 1 points, k the control hull's length rounded up, 4 to 64."""
+def sample_count(p0: Column, p1: Column, p2: Column, p3: Column) -> Column:
+    """The control hull's length rounded up, 4 to 64."""
     hull = length(sub(p1, p0)) + length(sub(p2, p1)) + length(sub(p3, p2))
-    k = F.least(F.greatest(F.ceil(hull), F.lit(4)), F.lit(64)).cast("int")
+    return F.least(F.greatest(F.ceil(hull), F.lit(4)), F.lit(64)).cast("int")
+
+
+def sample_cubic(p0: Column, p1: Column, p2: Column, p3: Column) -> Column:
+    """k + 1 points, k as in sample_count. For many curves, explode the numbers first and take bezier_point of each row."""
+    k = sample_count(p0, p1, p2, p3)
     return F.transform(F.sequence(F.lit(0), k), lambda i: bezier_point(p0, p1, p2, p3, i / k))
 
 

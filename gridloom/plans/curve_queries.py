@@ -144,7 +144,9 @@ def _curves(spark, d):
 s AS (SELECT *, i / k::DOUBLE AS t, 1 - i / k::DOUBLE AS u FROM (SELECT *, unnest(range(0, CAST(k AS BIGINT) + 1)) AS i FROM h))
 SELECT p_partkey, CAST(i AS INT) AS i, round(3 * u * u * t * x1 + 3 * u * t * t * x2 + t * t * t * x3 + 1e-9, 6) AS x, round(3 * u * u * t * y1 + 3 * u * t * t * y2 + t * t * t * y3 + 1e-9, 6) AS y FROM s""")
 def bezier_samples(spark, d):
-    points = _curves(spark, d).select("p_partkey", F.posexplode(G.sample_cubic(F.col("p0"), F.col("p1"), F.col("p2"), F.col("p3"))).alias("i", "p"))
+    ends = [F.col(f"p{k}") for k in range(4)]
+    rows = _curves(spark, d).withColumn("k", G.sample_count(*ends)).withColumn("i", F.explode(F.sequence(F.lit(0), "k")))
+    points = rows.select("p_partkey", "i", G.bezier_point(*ends, F.col("i") / F.col("k")).alias("p"))
     return points.select("p_partkey", "i", F.round(F.col("p.x") + 1e-9, 6).alias("x"), F.round(F.col("p.y") + 1e-9, 6).alias("y"))
 
 
