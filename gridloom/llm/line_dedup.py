@@ -2,7 +2,9 @@
 
 A line (texts are cut at line feeds) is dropped if an earlier one, by (doc_id, hash of the text, position), equals it
 or, when both have ``fuzzy_from`` characters at least, is one edit away (insertion, deletion or substitution of a
-character). Blank lines always stay and match nothing.
+character). With ``edits=2``, lines that both have ``two_from`` characters at least may be two edits apart; other bounds
+than 0, 1 and 2 are refused. Blank lines always stay and match nothing. The query op5 has one edit, as its SQL says; the
+pipeline's stage has two.
 
 Equal lines meet by hash first, so that all later steps see each distinct line once. Two lines one edit apart share, at
 some place, the variant without the edited character; a line's variants are hashed with the text before and after them,
@@ -11,6 +13,10 @@ pieces of about sqrt(length): the edit lies in one piece, so all before and all
 a variant is compared (levenshtein) with the earliest that has it, never with all others: lines that lack the same place
 are one edit apart from each other, and a line that equals a variant is so from each line the variant came from.
 
+Of two lines two edits apart, one of three parts is equal: the first, the last, or (an edit on either side) the middle one,
+shifted by a character at most. Lines that share no such part with another are left out by a bitmap. The others are cut in
+quarters, of which the edits touch two at most; lines that share the rest are compared (levenshtein).
+
 Nulls and odd input: a null text has no lines and stays null; an empty text is one blank line; a null doc_id comes
 first; rows with equal doc_id and text are one document and fare alike; an empty table gives an empty result; other
 columns are kept by ``dedup``, whatever their names.
@@ -24,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 FUZZY_FROM = 16
+TWO_FROM = 40
+PARTS = 4
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -60,19 +68,24 @@ def _variants(pieces: DataFrame) -> DataFrame:
     return pieces.where("length(piece) > 0").select("h", "n", "first", F.explode(F.concat(deleted, whole)).alias("x")).select("h", "n", "first", "x.variant", "x.kind").distinct()
 
 
+def _bitmap(ids: DataFrame, column: str):
+    """Keeps the rows of a DataFrame whose ``column`` may be in ids: a bitmap of at most 64 MB, so that no row is shuffled."""
+    power = min(max(15, (16 * max(ids.count(), 1) - 1).bit_length()), 29)
+    slot = F.pmod(F.xxhash64(column), F.lit(1 << power))
+    blocks = cut(ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("bits")))
+    marked = F.expr("shiftright(int(conv(hex(substring(bits, int(shiftright(slot & 32767, 3)) + 1, 1)), 16, 10)), int(slot & 7)) & 1 = 1")
+    return lambda df: df.withColumn("slot", slot).withColumn("block", F.shiftright("slot", 15)).join(F.broadcast(blocks), "block").where(marked).drop("slot", "block", "bits")
+
+
 def near_lines(docs: DataFrame, distinct_lines: DataFrame, fuzzy_from: int) -> DataFrame:
     """(h, n) of the distinct lines that are one edit away from an earlier one."""
     keys = distinct_lines.where(F.col("n") > fuzzy_from - 1).select("h", "n", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
     wanted = cut(keys.join(shared, "key", "left_semi").select("h", "n").distinct())
 
-    # One text of each such line. A bitmap of at most 64 MB spares the shuffle of most other lines; the join after it is exact
+    # One text of each such line. The bitmap spares the shuffle of most other lines; the join after it is exact
     # (not a semi join: the optimizer would push that below the bitmap's filter, and so shuffle all lines).
-    power = min(max(15, (16 * max(wanted.count(), 1) - 1).bit_length()), 29)
-    slot = F.pmod(F.xxhash64("h"), F.lit(1 << power))
-    blocks = cut(wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("bits")))
-    marked = F.expr("shiftright(int(conv(hex(substring(bits, int(shiftright(slot & 32767, 3)) + 1, 1)), 16, 10)), int(slot & 7)) & 1 = 1")
-    texts = _lines(docs).select("line", "h", "n", slot.alias("slot"), F.shiftright(slot, 15).alias("block")).join(F.broadcast(blocks), "block").where(marked)
+    texts = _bitmap(wanted, "h")(_lines(docs).select("line", "h", "n"))
     texts = texts.select("h", "n", "line").join(wanted, ["h", "n"]).groupBy("h", "n").agg(F.min("line").alias("line"))
     texts = cut(texts.join(distinct_lines.select("h", "n", "first"), ["h", "n"]))
 
@@ -87,14 +100,63 @@ def near_lines(docs: DataFrame, distinct_lines: DataFrame, fuzzy_from: int) -> D
     return both.where(F.expr("levenshtein(line, earlier, 1) between 0 and 1")).select("h", "n").distinct()
 
 
-def dropped_lines(docs: DataFrame, edits: int = 1, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
+def _third_keys(lines: DataFrame, least: int) -> DataFrame:
+    """lines with a row for each key: a third's place and hash, its size rounded so that lines of nearly one length have the same."""
+    rows = lines.withColumn("q", F.explode(F.expr(f"array_distinct(transform(filter(array(n, n - 1, n - 2), m -> m >= {least}), m -> int((m - 1) div 3)))")))
+    rows = rows.withColumn("c", F.expr("q - q % shiftleft(1, greatest(int(log2(q)) - 2, 0))")).drop("q")
+    parts = [(0, "left(line, c)"), (1, "substring(line, c + 1, c)"), (1, "substring(line, c + 2, c)"), (2, "right(line, c)")]
+    return rows.withColumn("key", F.explode(F.array(*(F.xxhash64("c", F.lit(i), F.expr(x)) for i, x in parts)))).drop("c")
+
+
+def _rest_keys(texts: DataFrame, least: int) -> DataFrame:
+    """h, n, first, key for all but two parts of each line: less is what the line is longer than the pair's shorter one, and what
+    is between the two can be shifted by a character (of equally long lines, in the one or the other)."""
+    rows = texts.withColumn("less", F.explode(F.expr("array(0, 1, 2)"))).withColumn("m", F.expr("n - less")).where(F.col("m") >= least)
+    at = lambda k: f"int(m * {k} div {PARTS})"
+    keys = []
+    for i in range(PARTS):
+        for j in range(i + 1, PARTS):
+            before, after = F.xxhash64(F.expr(f"left(line, {at(i)})")), F.xxhash64(F.expr(f"right(line, m - {at(j + 1)})"))
+            for shift in (0, 1) if j > i + 1 else (0,):
+                mid = F.expr(f"substring(line, {at(i + 1)} + {shift} + 1, greatest({at(j)} - {at(i + 1)} - 1, 0))")
+                key = F.xxhash64("m", F.lit(i), F.lit(j), before, F.xxhash64(mid), after)
+                keys.append(F.when(F.col("less") < 2, key) if j > i + 1 and not shift else key)
+    return rows.select("h", "n", "first", F.explode(F.array(*keys)).alias("key")).where("key is not null")
+
+
+def two_apart(docs: DataFrame, settled: DataFrame, least: int) -> DataFrame:
+    """(h, n) of the lines that aren't settled and are two edits at most from an earlier one; both have ``least`` characters."""
+    lines = _lines(docs).where(F.col("n") >= least)
+    shared = cut(_third_keys(lines.select("line", "h", "n"), least).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"))
+    some = _bitmap(shared, "key")(_third_keys(lines.select("line", "h", "n", F.struct("doc_id", "th", "pos").alias("place")), least))
+    texts = cut(some.groupBy("h", "n").agg(F.min("line").alias("line"), F.min("place").alias("first")))
+    keys = _rest_keys(texts, least)
+    # A line with one key twice is met by itself only; the order below leaves it out.
+    several = cut(keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"))
+    keys = cut(_bitmap(several, "key")(keys))
+    later = keys.join(settled.select("h", "n"), ["h", "n"], "left_anti")
+    earlier = keys.select("key", F.col("h").alias("eh"), F.col("n").alias("en"), F.col("first").alias("efirst"))
+    met = later.join(earlier, (later["key"] == earlier["key"]) & (F.col("efirst") < F.col("first"))).select("h", "n", "eh", "en").distinct()
+    both = met.join(texts.select("h", "n", "line"), ["h", "n"]).join(texts.select(F.col("h").alias("eh"), F.col("n").alias("en"), F.col("line").alias("earlier")), ["eh", "en"])
+    return both.where(F.expr("levenshtein(line, earlier, 2) between 0 and 2")).select("h", "n").distinct()
+
+
+def dropped_lines(docs: DataFrame, edits: int = 1, fuzzy_from: int = FUZZY_FROM, two_from: int = TWO_FROM) -> DataFrame:
     """(doc_id, th, drop): the ascending positions of the lines to drop in each document that has any."""
+    if edits not in (0, 1, 2):
+        raise ValueError(f"edits is 0, 1 or 2, not {edits!r}")
+    if edits == 2 and two_from < max(fuzzy_from, 2 * PARTS):
+        raise ValueError(f"two_from is {max(fuzzy_from, 2 * PARTS)} at least, not {two_from!r}")
     lines = _lines(docs)
     place = F.struct("doc_id", "th", "pos")
     keyed = lines.select("h", "n", place.alias("place"), *(k.alias(f"k{i}") for i, k in enumerate(_half_keys())))
     distinct_lines = cut(keyed.groupBy("h", "n").agg(F.min("place").alias("first"), F.count("*").alias("times"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))))
     if edits:
-        near = near_lines(docs, distinct_lines, fuzzy_from).withColumn("near", F.lit(True))
+        near = near_lines(docs, distinct_lines, fuzzy_from)
+        if edits == 2:
+            near = cut(near)
+            near = near.unionByName(two_apart(docs, near, two_from))
+        near = near.withColumn("near", F.lit(True))
         judged = distinct_lines.select("h", "n", "first", "times").join(near, ["h", "n"], "left").where("times > 1 or near")
     else:
         judged = distinct_lines.select("h", "n", "first", "times", F.lit(None).cast("boolean").alias("near")).where("times > 1")
@@ -103,9 +165,9 @@ def dropped_lines(docs: DataFrame, edits: int = 1, fuzzy_from: int = FUZZY_FROM)
     return gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.col("pos").cast("long"))).alias("drop"))
 
 
-def dedup(docs: DataFrame, edits: int = 1, fuzzy_from: int = FUZZY_FROM) -> DataFrame:
+def dedup(docs: DataFrame, edits: int = 1, fuzzy_from: int = FUZZY_FROM, two_from: int = TWO_FROM) -> DataFrame:
     """docs, text without the dropped lines, with __n_lines and __n_dropped behind their columns."""
-    dropped = dropped_lines(docs.select("doc_id", "text"), edits, fuzzy_from).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("drop").alias("__drop"))
+    dropped = dropped_lines(docs.select("doc_id", "text"), edits, fuzzy_from, two_from).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("drop").alias("__drop"))
     rest = [docs[c].alias(str(k)) for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
     own = docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *rest).alias("__own"))  # other names can't clash in there
     rows = own.join(dropped, own["doc_id"].eqNullSafe(dropped["__id"]) & (F.xxhash64(own["text"]) == dropped["__th"]), "left")
@@ -125,8 +187,8 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: later equal or nearly equal lines go, and so do documents of which only blank lines are left."""
-    found = dedup(docs).where(F.expr("__n_dropped = 0 or text rlike '\\\\S'"))
+    """Pipeline stage: later equal or nearly equal lines (two edits from ``TWO_FROM`` characters) go, and so do documents of which only blank lines are left."""
+    found = dedup(docs, edits=2).where(F.expr("__n_dropped = 0 or text rlike '\\\\S'"))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)
