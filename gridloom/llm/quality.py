@@ -109,7 +109,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def vote(model: dict, vectors: np.ndarray, neighbours: int = NEIGHBOURS, sharpness: float = SHARPNESS) -> np.ndarray:
-    """Scores of unit vectors; zero vectors get the prior. Each class's votes count by its rarity in the sample."""
+    """Scores of unit vectors; zero vectors get the prior. Votes count by cosine ** sharpness, not by their class's share of the sample."""
     known, labels = model["vectors"], model["labels"]
     scores = np.full(len(vectors), model["prior"])
     k = min(neighbours, len(known))
