@@ -6,16 +6,20 @@ character). With ``edits=2``, lines that both have ``two_from`` characters at le
 than 0, 1 and 2 are refused. Blank lines always stay and match nothing. The query op5 has one edit, as its SQL says; the
 pipeline's stage has two.
 
-Equal lines meet by hash first, so that all later steps see each distinct line once. Two lines one edit apart share, at
-some place, the variant without the edited character; a line's variants are hashed with the text before and after them,
-and equal ones are joined. To emit only variants that can have a partner, lines are first matched by halves, then by
-pieces of about sqrt(length): the edit lies in one piece, so all before and all after it must be shared. Whoever shares
-a variant is compared (levenshtein) with the earliest that has it, never with all others: lines that lack the same place
-are one edit apart from each other, and a line that equals a variant is so from each line the variant came from.
+Equal lines meet by name first (two independent 64-bit hashes and the length), so that all later steps see each distinct
+line once. Two lines one edit apart share, at some place, the variant without the edited character; a line's variants are
+hashed with the text before and after them, and equal ones are joined. To emit only variants that can have a partner, lines
+are first matched by halves, then by pieces of about sqrt(length): the edit lies in one piece, so all before and all after
+it must be shared. Whoever shares a variant is compared (levenshtein) with the earliest that has it, never with all others:
+lines that lack the same place are one edit apart from each other, and a line that equals a variant is so from each line
+the variant came from.
 
 Of two lines two edits apart, one of three parts is equal: the first, the last, or (an edit on either side) the middle one,
 shifted by a character at most. Lines that share no such part with another are left out by a bitmap. The others are cut in
-quarters, of which the edits touch two at most; lines that share the rest are compared (levenshtein).
+quarters, and those in pieces of about sqrt(length); at both levels a line goes on only where one that is not settled yet has
+an earlier partner that agrees in all but the one or two pieces with the edits, and differs in each of those. What is left
+emits its variants with two characters open, taken out, or one of each; places left open are part of the hash, so lines of one
+variant are known to be near by the counts of the two kinds, and again only the earliest that fits is compared.
 
 Nulls and odd input: a null text has no lines and stays null; an empty text is one blank line; a null doc_id comes
 first; rows with equal doc_id and text are one document and fare alike; an empty table gives an empty result; other
@@ -32,12 +36,16 @@ from .common import cut, table
 FUZZY_FROM = 16
 TWO_FROM = 40
 PARTS = 4
+#: What names a line: two independent 64-bit hashes and its length.
+KEY = ["h", "g", "n"]
+#: Lines with more than a 1,024th of all are spread over so many parts of the last join.
+SPREAD = 64
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th, pos, line, h, n of each line that isn't blank."""
+    """doc_id, th, pos, line, and what names it: h, g (two independent 64-bit hashes) and n (characters), of each line that isn't blank."""
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return rows.where(F.col("line").rlike(r"\S")).withColumn("h", F.xxhash64("line")).withColumn("n", F.length("line"))
+    return rows.where(F.col("line").rlike(r"\S")).withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit("again"), "line"), "n": F.length("line")})
 
 
 def _half_keys() -> list:
@@ -68,26 +76,32 @@ def _variants(pieces: DataFrame) -> DataFrame:
     return pieces.where("length(piece) > 0").select("h", "n", "first", F.explode(F.concat(deleted, whole)).alias("x")).select("h", "n", "first", "x.variant", "x.kind").distinct()
 
 
-def _bitmap(ids: DataFrame, column: str):
-    """Keeps the rows of a DataFrame whose ``column`` may be in ids: a bitmap of at most 64 MB, so that no row is shuffled."""
+def _marked(ids: DataFrame, column: str, name: str = "__hit"):
+    """Adds to a DataFrame whether its ``column`` may be in ids: a bitmap of at most 64 MB, so that no row is shuffled."""
     power = min(max(15, (16 * max(ids.count(), 1) - 1).bit_length()), 29)
     slot = F.pmod(F.xxhash64(column), F.lit(1 << power))
-    blocks = cut(ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("bits")))
-    marked = F.expr("shiftright(int(conv(hex(substring(bits, int(shiftright(slot & 32767, 3)) + 1, 1)), 16, 10)), int(slot & 7)) & 1 = 1")
-    return lambda df: df.withColumn("slot", slot).withColumn("block", F.shiftright("slot", 15)).join(F.broadcast(blocks), "block").where(marked).drop("slot", "block", "bits")
+    blocks = cut(ids.select(slot.alias("__slot")).groupBy(F.shiftright("__slot", 15).alias("__block")).agg(F.bitmap_construct_agg(F.col("__slot").bitwiseAND(32767)).alias("__bits")))
+    marked = F.expr("shiftright(int(conv(hex(substring(__bits, int(shiftright(__slot & 32767, 3)) + 1, 1)), 16, 10)), int(__slot & 7)) & 1 = 1")
+    return lambda df: df.withColumn("__slot", slot).withColumn("__block", F.shiftright("__slot", 15)).join(F.broadcast(blocks), "__block", "left").withColumn(name, F.coalesce(marked, F.lit(False))).drop("__slot", "__block", "__bits")
+
+
+def _bitmap(ids: DataFrame, column: str):
+    """Keeps the rows of a DataFrame whose ``column`` may be in ids."""
+    add = _marked(ids, column)
+    return lambda df: add(df).where("__hit").drop("__hit")
 
 
 def near_lines(docs: DataFrame, distinct_lines: DataFrame, fuzzy_from: int) -> DataFrame:
-    """(h, n) of the distinct lines that are one edit away from an earlier one."""
+    """KEY of the distinct lines that are one edit away from an earlier one."""
     keys = distinct_lines.where(F.col("n") > fuzzy_from - 1).select("h", "n", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
     wanted = cut(keys.join(shared, "key", "left_semi").select("h", "n").distinct())
 
     # One text of each such line. The bitmap spares the shuffle of most other lines; the join after it is exact
     # (not a semi join: the optimizer would push that below the bitmap's filter, and so shuffle all lines).
-    texts = _bitmap(wanted, "h")(_lines(docs).select("line", "h", "n"))
-    texts = texts.select("h", "n", "line").join(wanted, ["h", "n"]).groupBy("h", "n").agg(F.min("line").alias("line"))
-    texts = cut(texts.join(distinct_lines.select("h", "n", "first"), ["h", "n"]))
+    texts = _bitmap(wanted, "h")(_lines(docs).select("line", *KEY))
+    texts = texts.select(*KEY, "line").join(wanted, ["h", "n"]).groupBy(*KEY).agg(F.min("line").alias("line"))
+    texts = cut(texts.join(distinct_lines.select(*KEY, "first"), KEY))
 
     pieces = _pieces(texts)
     around = pieces.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
@@ -96,8 +110,15 @@ def near_lines(docs: DataFrame, distinct_lines: DataFrame, fuzzy_from: int) -> D
     heads = variants.groupBy("variant").agg(F.min(F.when(F.col("kind") != "w", me)).alias("other"), F.min(F.when(F.col("kind") == "w", me)).alias("whole"))
     met = variants.join(heads.where(F.col("other").isNotNull()), "variant").select("h", "n", "first", F.when(F.col("kind") == "b", F.col("whole")).otherwise(F.col("other")).alias("e"))
     met = met.where(F.col("e").isNotNull() & (F.col("e.first") < F.col("first"))).select("h", "n", F.col("e.h").alias("eh"), F.col("e.n").alias("en")).distinct()
-    both = met.join(texts.select("h", "n", "line"), ["h", "n"]).join(texts.select(F.col("h").alias("eh"), F.col("n").alias("en"), F.col("line").alias("earlier")), ["eh", "en"])
-    return both.where(F.expr("levenshtein(line, earlier, 1) between 0 and 1")).select("h", "n").distinct()
+    return _verified(met, texts, 1)
+
+
+def _verified(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """KEY of the lines of pairs (h, n, eh, en) whose texts are that near, the other one earlier."""
+    later = texts.select(*KEY, "line", "first")
+    earlier = texts.select(F.col("h").alias("eh"), F.col("n").alias("en"), F.col("line").alias("earlier"), F.col("first").alias("efirst"))
+    both = met.join(later, ["h", "n"]).join(earlier, ["eh", "en"]).where(F.col("efirst") < F.col("first"))
+    return both.where(F.levenshtein("line", "earlier", edits).between(0, edits)).select(*KEY).distinct()
 
 
 def _third_keys(lines: DataFrame, least: int) -> DataFrame:
@@ -108,37 +129,93 @@ def _third_keys(lines: DataFrame, least: int) -> DataFrame:
     return rows.withColumn("key", F.explode(F.array(*(F.xxhash64("c", F.lit(i), F.expr(x)) for i, x in parts)))).drop("c")
 
 
-def _rest_keys(texts: DataFrame, least: int) -> DataFrame:
-    """h, n, first, key for all but two parts of each line: less is what the line is longer than the pair's shorter one, and what
-    is between the two can be shifted by a character (of equally long lines, in the one or the other)."""
-    rows = texts.withColumn("less", F.explode(F.expr("array(0, 1, 2)"))).withColumn("m", F.expr("n - less")).where(F.col("m") >= least)
-    at = lambda k: f"int(m * {k} div {PARTS})"
-    keys = []
-    for i in range(PARTS):
-        for j in range(i + 1, PARTS):
-            before, after = F.xxhash64(F.expr(f"left(line, {at(i)})")), F.xxhash64(F.expr(f"right(line, m - {at(j + 1)})"))
-            for shift in (0, 1) if j > i + 1 else (0,):
-                mid = F.expr(f"substring(line, {at(i + 1)} + {shift} + 1, greatest({at(j)} - {at(i + 1)} - 1, 0))")
-                key = F.xxhash64("m", F.lit(i), F.lit(j), before, F.xxhash64(mid), after)
-                keys.append(F.when(F.col("less") < 2, key) if j > i + 1 and not shift else key)
-    return rows.select("h", "n", "first", F.explode(F.array(*keys)).alias("key")).where("key is not null")
-
-
-def two_apart(docs: DataFrame, settled: DataFrame, least: int) -> DataFrame:
-    """(h, n) of the lines that aren't settled and are two edits at most from an earlier one; both have ``least`` characters."""
+_ROLE = "struct({} as dx, {} as dy)"
+#: What two parts with an edit each may have more than the same parts of the other line: for whole lines, and for a part that has dx more itself.
+ALL_ROLES = f"array({', '.join(_ROLE.format(*x) for x in ((0, 0), (1, 0), (0, 1), (1, 1)))})"
+ROLES = f"case dx when 0 then array({_ROLE.format(0, 0)}, {_ROLE.format(1, 0)}, {_ROLE.format(0, 1)}) when 1 then array({_ROLE.format(1, 0)}, {_ROLE.format(0, 1)}) else array({_ROLE.format(1, 1)}) end"
+_ID = ("h", "n", "first", "open")
+
+
+def _finer(rows: DataFrame, parts: str, whole: bool) -> DataFrame:
+    """rows (h, n, first, open, key, x, dx, y, dy): lines known by key but for a text x that has both edits (y NULL), or two that have one each. The same with shorter texts.
+
+    A text that has dx characters more than w is cut in ``parts`` (SQL of w) as one of w characters would be; the edits lie in
+    one part or in two. key hashes w, which parts these are, and all the others.
+    """
+    at = lambda k, w="w", p="p": f"int({w} * ({k}) div {p})"
+    part = lambda x, k, more, w="w", p="p", shift="0": f"substring({x}, {at(k, w, p)} + {shift} + 1, {at(k + ' + 1', w, p)} - {at(k, w, p)} + {more})"
+    alone = rows.where("y is null")
+    sized = lambda df, w: df.withColumn("w", F.expr(w)).where("w > 0").withColumn("p", F.expr(parts))
+
+    one = sized(alone.withColumn("d", F.explode(F.expr("array(0, 1, 2)" if whole else "array(dx)"))), "length(x) - d").withColumn("a", F.explode(F.expr("sequence(0, p - 1)")))
+    key = F.xxhash64("key", F.lit(1), "w", "a", F.expr(f"left(x, {at('a')})"), F.expr(f"right(x, w - {at('a + 1')})"))
+    out = one.select(*_ID, key.alias("key"), F.expr(part("x", "a", "d")).alias("x"), F.col("d").alias("dx"), F.lit(None).cast("string").alias("y"), F.lit(0).alias("dy"))
+
+    two = sized(alone.withColumn("r", F.explode(F.expr(ALL_ROLES if whole else ROLES))), "length(x) - r.dx - r.dy").where("p > 1")
+    two = two.withColumn("a", F.explode(F.expr("sequence(0, p - 2)"))).withColumn("b", F.explode(F.expr("sequence(a + 1, p - 1)")))
+    key = F.xxhash64("key", F.lit(2), "w", "a", "b", F.expr(f"left(x, {at('a')})"), F.expr(f"substring(x, {at('a + 1')} + r.dx + 1, {at('b')} - {at('a + 1')})"), F.expr(f"right(x, w - {at('b + 1')})"))
+    out = out.unionByName(two.select(*_ID, key.alias("key"), F.expr(part("x", "a", "r.dx")).alias("x"), "r.dx", F.expr(part("x", "b", "r.dy", shift="r.dx")).alias("y"), "r.dy"))
+    if whole:
+        return out
+
+    both = sized(rows.where("y is not null"), "length(x) - dx").withColumnsRenamed({"w": "wx", "p": "px"})
+    both = sized(both, "length(y) - dy").withColumn("a", F.explode(F.expr("sequence(0, px - 1)"))).withColumn("b", F.explode(F.expr("sequence(0, p - 1)")))
+    key = F.xxhash64("key", F.lit(3), "a", "b", F.expr(f"left(x, {at('a', 'wx', 'px')})"), F.expr(f"right(x, wx - {at('a + 1', 'wx', 'px')})"), F.expr(f"left(y, {at('b')})"), F.expr(f"right(y, w - {at('b + 1')})"))
+    return out.unionByName(both.select(*_ID, key.alias("key"), F.expr(part("x", "a", "dx", "wx", "px")).alias("x"), "dx", F.expr(part("y", "b", "dy")).alias("y"), "dy"))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows of keys that an open line and an earlier one may have, which differ in every text that the key leaves out."""
+    kinds = rows.groupBy("key").agg(
+        F.min("first").alias("lo"), F.max(F.when(F.col("open"), F.col("first"))).alias("hi"),
+        *(f(F.xxhash64(c)).alias(f"{c}_{f.__name__}") for c in ("x", "y") for f in (F.min, F.max)), F.max(F.col("y").isNotNull()).alias("two"),
+    )
+    several = cut(kinds.where("lo < hi and x_min <> x_max and (not two or y_min <> y_max)").select("key"))
+    return _bitmap(several, "key")(rows)
+
+
+def _edits() -> tuple[str, str]:
+    """SQL: arrays of (s, d, v): the variants of x that one edit can have in common with another text, and those that two can.
+
+    v hashes x without d characters and with s places left open; places are part of the hash, so that two texts of one v
+    are s edits and one more for each character taken out of either apart, at most.
+    """
+    variant = lambda s, d, v: f"struct({s} as s, {d} as d, {v} as v)"
+    places = "sequence(0, length(x) - 1)"
+    less = lambda p: f"concat(left(x, {p}), substring(x, {p} + 2))"
+    whole = f"array({variant(0, 0, 'xxhash64(2, x)')})"
+    opened = f"transform({places}, i -> {variant(1, 0, 'xxhash64(1, i, left(x, i), substring(x, i + 2))')})"
+    taken = f"transform({places}, i -> {variant(0, 1, f'xxhash64(2, {less("i")})')})"
+    pairs = lambda what: f"flatten(transform({places}, i -> transform(filter({places}, k -> k > i), k -> {what})))"
+    around = "left(x, i), substring(x, i + 2, k - i - 1), substring(x, k + 2)"
+    open_two = pairs(variant(2, 0, f"xxhash64(3, i, k, {around})"))
+    take_two = pairs(variant(0, 2, f"xxhash64(2, concat({around}))"))
+    take_open = f"flatten(transform({places}, k -> transform(sequence(0, length(x) - 2), i -> {variant(1, 1, f'xxhash64(1, i, left({less("k")}, i), substring({less("k")}, i + 2))')})))"
+    return f"if(dx = 0, concat({opened}, {whole}), {taken})", f"case dx when 0 then concat({open_two}, {opened}, {whole}, {taken}) when 1 then {take_open} else {take_two} end"
+
+
+def two_apart(docs: DataFrame, distinct_lines: DataFrame, settled: DataFrame, least: int) -> DataFrame:
+    """KEY of the lines that aren't settled (KEY) and are two edits at most from an earlier one; both have ``least`` characters."""
     lines = _lines(docs).where(F.col("n") >= least)
-    shared = cut(_third_keys(lines.select("line", "h", "n"), least).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"))
-    some = _bitmap(shared, "key")(_third_keys(lines.select("line", "h", "n", F.struct("doc_id", "th", "pos").alias("place")), least))
-    texts = cut(some.groupBy("h", "n").agg(F.min("line").alias("line"), F.min("place").alias("first")))
-    keys = _rest_keys(texts, least)
-    # A line with one key twice is met by itself only; the order below leaves it out.
-    several = cut(keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"))
-    keys = cut(_bitmap(several, "key")(keys))
-    later = keys.join(settled.select("h", "n"), ["h", "n"], "left_anti")
-    earlier = keys.select("key", F.col("h").alias("eh"), F.col("n").alias("en"), F.col("first").alias("efirst"))
-    met = later.join(earlier, (later["key"] == earlier["key"]) & (F.col("efirst") < F.col("first"))).select("h", "n", "eh", "en").distinct()
-    both = met.join(texts.select("h", "n", "line"), ["h", "n"]).join(texts.select(F.col("h").alias("eh"), F.col("n").alias("en"), F.col("line").alias("earlier")), ["eh", "en"])
-    return both.where(F.expr("levenshtein(line, earlier, 2) between 0 and 2")).select("h", "n").distinct()
+    shared = cut(_third_keys(lines.select(*KEY, "line"), least).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"))
+    some = _bitmap(shared, "key")(_third_keys(lines.select(*KEY, "line"), least))
+    texts = some.groupBy(*KEY).agg(F.min("line").alias("line")).join(distinct_lines.select(*KEY, "first"), KEY)
+    texts = cut(texts.join(settled.withColumn("open", F.lit(False)), KEY, "left").withColumn("open", F.coalesce("open", F.lit(True))))
+
+    rows = texts.select(*_ID, F.lit(0).cast("long").alias("key"), F.col("line").alias("x"), F.lit(0).alias("dx"), F.lit(None).cast("string").alias("y"), F.lit(0).alias("dy"))
+    rows = cut(_shared(_finer(rows, str(PARTS), True)))
+    rows = cut(_shared(_finer(rows, "int(ceil(sqrt(w)))", False)))
+    once, twice = _edits()
+    alone = rows.where("y is null").select(*_ID, "key", F.explode(F.expr(twice)).alias("e")).select(*_ID, "e.s", "e.d", F.xxhash64("key", "e.v").alias("variant"))
+    both = rows.where("y is not null").withColumn("ex", F.explode(F.expr(once))).withColumns({"x": F.col("y"), "dx": F.col("dy")}).withColumn("ey", F.explode(F.expr(once)))
+    both = both.select(*_ID, F.expr("ex.s + ey.s as s"), F.expr("ex.d + ey.d as d"), F.xxhash64("key", "ex.v", "ey.v").alias("variant"))
+    variants = alone.unionByName(both)
+    me = F.struct("first", "h", "n")
+    heads = variants.groupBy("variant").agg(*(F.min(F.when(F.col("d") <= k, me)).alias(f"e{k}") for k in range(3)), F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    # A line with s places open and d characters less may meet one with 2 - s - d less: the earliest such, never all.
+    met = variants.where("open").join(heads, "variant").select("h", "n", "first", F.expr("case 2 - s - d when 2 then e2 when 1 then e1 else e0 end").alias("e"))
+    met = met.where(F.col("e").isNotNull() & (F.col("e.first") < F.col("first"))).select("h", "n", F.col("e.h").alias("eh"), F.col("e.n").alias("en")).distinct()
+    return _verified(met, texts, 2)
 
 
 def dropped_lines(docs: DataFrame, edits: int = 1, fuzzy_from: int = FUZZY_FROM, two_from: int = TWO_FROM) -> DataFrame:
@@ -149,28 +226,38 @@ def dropped_lines(docs: DataFrame, edits: int = 1, fuzzy_from: int = FUZZY_FROM,
         raise ValueError(f"two_from is {max(fuzzy_from, 2 * PARTS)} at least, not {two_from!r}")
     lines = _lines(docs)
     place = F.struct("doc_id", "th", "pos")
-    keyed = lines.select("h", "n", place.alias("place"), *(k.alias(f"k{i}") for i, k in enumerate(_half_keys())))
-    distinct_lines = cut(keyed.groupBy("h", "n").agg(F.min("place").alias("first"), F.count("*").alias("times"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))))
+    keyed = lines.select(*KEY, place.alias("place"), *(k.alias(f"k{i}") for i, k in enumerate(_half_keys())))
+    distinct_lines = cut(keyed.groupBy(*KEY).agg(F.min("place").alias("first"), F.count("*").alias("times"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))))
+    judged = distinct_lines.select(*KEY, "first", "times")
     if edits:
         near = near_lines(docs, distinct_lines, fuzzy_from)
         if edits == 2:
             near = cut(near)
-            near = near.unionByName(two_apart(docs, near, two_from))
-        near = near.withColumn("near", F.lit(True))
-        judged = distinct_lines.select("h", "n", "first", "times").join(near, ["h", "n"], "left").where("times > 1 or near")
+            near = near.union(two_apart(docs, distinct_lines, near, two_from))
+        judged = judged.join(near.withColumn("near", F.lit(True)), KEY, "left").where("times > 1 or near")
     else:
-        judged = distinct_lines.select("h", "n", "first", "times", F.lit(None).cast("boolean").alias("near")).where("times > 1")
-    judged = cut(judged.select("h", "n", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    gone = lines.select("h", "n", "doc_id", "th", "pos").join(judged, ["h", "n"]).where(F.col("near") | ~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
+        judged = judged.withColumn("near", F.lit(None).cast("boolean")).where("times > 1")
+    judged = cut(judged.withColumn("near", F.coalesce("near", F.lit(False))))
+
+    # Lines with more than a 1,024th of all (so at most 1,024) would each gather in one task: their rows are spread.
+    many = (distinct_lines.agg(F.sum("times")).first()[0] or 0) // 1024 + 1
+    common = judged.where(F.col("times") >= many).select(*KEY, F.lit(True).alias("common"))
+    asked = _bitmap(judged.select("h"), "h")(lines.select(*KEY, "doc_id", "th", "pos")).join(F.broadcast(common), KEY, "left")
+    asked = asked.withColumn("part", F.when(F.col("common"), F.pmod(F.xxhash64("doc_id", "th", "pos"), F.lit(SPREAD))).otherwise(F.lit(0)))
+    spread = judged.withColumn("part", F.explode(F.when(F.col("times") >= many, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")))
+    gone = asked.join(spread, [*KEY, "part"]).where(F.col("near") | ~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.col("pos").cast("long"))).alias("drop"))
 
 
 def dedup(docs: DataFrame, edits: int = 1, fuzzy_from: int = FUZZY_FROM, two_from: int = TWO_FROM) -> DataFrame:
     """docs, text without the dropped lines, with __n_lines and __n_dropped behind their columns."""
-    dropped = dropped_lines(docs.select("doc_id", "text"), edits, fuzzy_from, two_from).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("drop").alias("__drop"))
+    dropped = cut(dropped_lines(docs.select("doc_id", "text"), edits, fuzzy_from, two_from).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("drop").alias("__drop")))
     rest = [docs[c].alias(str(k)) for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
     own = docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *rest).alias("__own"))  # other names can't clash in there
-    rows = own.join(dropped, own["doc_id"].eqNullSafe(dropped["__id"]) & (F.xxhash64(own["text"]) == dropped["__th"]), "left")
+    own = _marked(dropped.select(F.col("__th").alias("th")), "th")(own.withColumn("th", F.xxhash64("text"))).withColumnRenamed("th", "__own_th")
+    touched = own.where("__hit")  # only these texts are shuffled
+    touched = touched.join(dropped, touched["doc_id"].eqNullSafe(dropped["__id"]) & (touched["__own_th"] == dropped["__th"]), "left").select("doc_id", "text", "__own", "__drop")
+    rows = touched.unionByName(own.where("not __hit").select("doc_id", "text", "__own", F.lit(None).cast("array<bigint>").alias("__drop")))
     rows = rows.withColumn("__lines", F.split("text", "\n", -1))
     kept = F.expr("array_except(transform(__lines, (x, i) -> bigint(i)), __drop)")
     text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i.cast("int"))), "\n"))
