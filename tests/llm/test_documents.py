@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -246,7 +247,29 @@ def test_n_best_matches_all_segmentations(spark):
     out = {r.doc_id: r for r in pieces.segment(frame(spark, [(1, None), (2, ""), (3, " a\n漢 b▁c"), (4, "wor" * 5000)]), 3).collect()}
     real = pieces.load(pieces.default_path())
     assert [w.ids for w in out[1].ways] == [[]] and [w.ids for w in out[2].ways] == [[]]
-    assert real.decode(out[3].ways[2].ids) == " a\n漢 b c" and real.decode(out[4].ways[1].ids) == "wor" * 5000
+    assert real.decode(out[3].ways[2].ids) == " a\n漢 b▁c" and real.decode(out[4].ways[1].ids) == "wor" * 5000
+
+
+def test_long_text_without_spaces_and_the_marks_round_trip():
+    rng = random.Random(4)
+    words = pieces.load(pieces.default_path())
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1_000_000))
+    tracemalloc.start()
+    ways = words.encode(text, 3)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 29
+    tracemalloc.stop()
+    assert len({tuple(i) for _, i in ways}) == 3 and all(words.decode(i) == text for _, i in ways)
+    assert ways[0][0] >= ways[1][0] >= ways[2][0]
+    for text in ("▁", " ▁ ▁▁", "a▁b", "▁The\n▁"):
+        assert all(words.decode(i) == text for _, i in words.encode(text, 3))
+
+
+def test_common_words_are_encoded_as_by_the_models_own_encoder():
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
+    text = "The quick brown fox jumps over the lazy dog. It isn't, of course, what everyone had expected from the report."
+    assert list(pieces.load(pieces.default_path()).encode(text)[0][1]) == own.encode(text)
 
 
 def test_quality_learns_and_holds_edge_cases(spark):

@@ -1,6 +1,8 @@
 import collections
 import hashlib
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -39,6 +41,28 @@ def test_topk_stops_early():
     assert [(-int(s), int(t)) for s, t in zip(scores, top, strict=True)] == brute
 
 
+def test_topk_scores_seen_rows_only_and_bounds_the_others():
+    rng = np.random.default_rng(9)
+    vectors = np.floor(64 * rng.normal(size=(4000, 64)) * 0.6 ** np.arange(64))
+    lists = topk.Lists(np.arange(4000), vectors)
+    shares = []
+    for k in range(0, 4000, 100):
+        top, scores = lists.best(k, vectors[k], 20)
+        brute = sorted((-int(vectors[j] @ vectors[k]), j) for j in range(4000) if j != k)[:20]
+        assert [(-int(s), int(t)) for s, t in zip(scores, top, strict=True)] == brute
+        shares.append(lists.read / 3999)
+    assert np.mean(shares) < 0.7 and max(shares) < 1  # 64 dimensions, but the components fall off
+    for _ in range(300):  # the bound holds for every vector under it
+        w, last = rng.random(6) + 0.01, rng.normal(size=6)
+        xs = np.minimum(rng.normal(size=(400, 6)) * 2, last)
+        norm = float(np.linalg.norm(last)) * rng.random() + 0.3
+        xs = xs[np.linalg.norm(xs, axis=1) <= norm]
+        assert not len(xs) or (xs @ w).max() <= topk.ceiling(w, last, norm) + 1e-9
+    huge = np.array([[2.0**60, 1.0], [2.0**60, 3.0], [2.0**60, 2.0], [-(2.0**60), 0.0]])
+    top, scores = topk.Lists(np.arange(4), huge).best(0, huge[0] / 2**50, 2)
+    assert top.tolist() == [1, 2] and all(isinstance(x, int) for x in scores)
+
+
 def test_escape_is_reversible():
     rng = random.Random(1)
     for _ in range(3000):
@@ -79,6 +103,10 @@ CASES = [
     ("<p hidden>no</p>yes", "yes"), ("<p style='display: none'>no</p>yes", "yes"), ("<div style='visibility:hidden'>no<i style='visibility:visible'>yes</i></div>", "yes"),
     ("<style>.x{display:none}</style><p class='a x'>no<p>yes", "yes"), ("<details><summary>s</summary>no</details>", "s"), ("<details open><summary>s</summary>t</details>", "s\n\nt".replace("\n\n", "\n")),
     ("a<br><br>b", "a\n\nb"), ("<h1>h</h1>t", "h\n\nt"), ("<div>a</div><div>b</div>", "a\nb"), ("<b>a<p>b</b>c", "a\n\nbc"), ("a</p>b", "a\n\nb"), ("<", "<"), ("a < b <c", "a < b"),
+    ("<table><tr><td rowspan=2>r<td>a<tr><td>b</table>", "r | a\n  | b"), ("<table><tr><td colspan=2>wide one<td>c<tr><td>a<td>b<td>d</table>", "wide one | c\na | b    | d"),
+    ("<style>p.x{display:none} div .y{display:none} #a > b{visibility:hidden} .z{display:none} p.z{display:inline}</style><p class=x>no<p class='y z'>yes<div><i><b class=y>no</b></i>yes</div><div id=a><b>no</b><i><b>yes</b></i></div>", "yes\n\nyes\nyes"),
+    ("<style>@media print{p{display:none}} @media screen{.q{display:none}} [lang=xx]{display:none} a:hover{display:none}</style><p>yes<p class=q>no<p lang=xx>no</p><a>yes</a>", "yes\n\nyes"),
+    ("<svg><title>no</title><defs><text>no</text></defs><text>label</text><path/></svg><math><mi>x</mi><annotation>no</annotation></math>", "label\nx"),
     ("<dl><dt>t<dd>d</dl>", "t\n  d"), ("<blockquote>q</blockquote>", "q".rjust(3)), ("<textarea> t </textarea>", " t"),
 ]
 
@@ -88,6 +116,54 @@ def test_pages(page, text):
     assert html_text.text_of(page) == text
 
 
+def grid_of(rows):
+    """A second layout: the owner of each place of the table, as (row, cell), by filling a matrix."""
+    place, spots = {}, []
+    for r, row in enumerate(rows):
+        c = 0
+        for k, (_, wide, high) in enumerate(row):
+            while (r, c) in place:
+                c += 1
+            for y in range(r, min(r + high, len(rows))):
+                for x in range(c, c + wide):
+                    place.setdefault((y, x), (r, k))
+            spots.append((r, k, c))
+            c += wide
+    return spots
+
+
+def test_tables_against_a_second_layout():
+    rng = random.Random(12)
+    for _ in range(200):
+        rows, n = [], 0
+        for _ in range(rng.randint(1, 6)):
+            row = []
+            for _ in range(rng.randint(1, 5)):
+                row.append((f"w{n}" + "x" * rng.randint(0, 6), rng.choice([1, 1, 1, 2]), rng.choice([1, 1, 2, 3])))
+                n += 1
+            rows.append(row)
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={w} rowspan={h}>{t}" for t, w, h in row) for row in rows) + "</table>"
+        lines = html_text.text_of(page).split("\n")
+        assert len(lines) == len(rows)
+        at = collections.defaultdict(set)
+        for r, k, c in grid_of(rows):
+            text = rows[r][k][0]
+            assert re.search(rf"(^|\| ){text}( *\||$)", lines[r]), page
+            at[c].add(lines[r].index(text))
+        assert all(len(x) == 1 for x in at.values()), (page, lines)  # cells of one column are aligned
+        assert [x for _, x in sorted((c, min(x)) for c, x in at.items())] == sorted({min(x) for x in at.values()})
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 100000 + "x" + "</div>" * 100000, "<b>" * 50000 + "x" + "</i>" * 50000, "<p><button>" + "<div>" * 100000 + "x", "<b><div>" * 50000 + "x" + "</b>" * 50000,
+    "<ul><li>" * 30000 + "x", "<table><tr><td>" * 30000 + "x", "<table>" + "<tr><td rowspan=9999>x" * 30000, "<a \"" * 50001 + "x", "<blockquote>" * 50000 + "x",
+])
+def test_deep_and_misnested_pages_take_little_time(page):
+    began = time.process_time()
+    text = html_text.text_of(page)
+    assert time.process_time() - began < 8 and ("x" in text or "<a" in page) and len(text) < 20 * len(page)
+
+
 def test_words_outside_of_tags_survive(spark):
     """Whatever the markup, visible words come out once and in order."""
     rng = random.Random(6)
