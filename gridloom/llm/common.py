@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -31,19 +32,32 @@ def ship(spark: SparkSession) -> None:
     context._gridloom_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder that all executors share, and read it from there.
-
-    The folder is spark.checkpoint.dir; only where that is unset (local tests) a temporary one is used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder where that is unset and all runs on this machine (tests), else an error."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="gridloom-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the folder that all executors share, and read it from there."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def marked(ids: DataFrame, column: str, name: str = "__hit"):
+    """Adds to a DataFrame whether its ``column`` may be in ids: a bitmap of at most 64 MB, so that no row is shuffled."""
+    power = min(max(15, (16 * max(ids.count(), 1) - 1).bit_length()), 29)
+    slot = F.pmod(F.xxhash64(column), F.lit(1 << power))
+    blocks = cut(ids.select(slot.alias("__slot")).groupBy(F.shiftright("__slot", 15).alias("__block")).agg(F.bitmap_construct_agg(F.col("__slot").bitwiseAND(32767)).alias("__bits")))
+    bit = F.expr("shiftright(int(conv(hex(substring(__bits, int(shiftright(__slot & 32767, 3)) + 1, 1)), 16, 10)), int(__slot & 7)) & 1 = 1")
+    return lambda df: df.withColumn("__slot", slot).withColumn("__block", F.shiftright("__slot", 15)).join(F.broadcast(blocks), "__block", "left").withColumn(name, F.coalesce(bit, F.lit(False))).drop("__slot", "__block", "__bits")
+
+
 def hashed_bits(ids: DataFrame, column: str, n_rows: int, most_bits: int = 1 << 29) -> tuple[bytes, int]:
     """A bitmap of the hashed values of a long column: (bits, log2 of their number).
 

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, marked, table
 
 FUZZY_FROM = 16
 TWO_FROM = 40
@@ -76,18 +76,9 @@ def _variants(pieces: DataFrame) -> DataFrame:
     return pieces.where("length(piece) > 0").select("h", "n", "first", F.explode(F.concat(deleted, whole)).alias("x")).select("h", "n", "first", "x.variant", "x.kind").distinct()
 
 
-def _marked(ids: DataFrame, column: str, name: str = "__hit"):
-    """Adds to a DataFrame whether its ``column`` may be in ids: a bitmap of at most 64 MB, so that no row is shuffled."""
-    power = min(max(15, (16 * max(ids.count(), 1) - 1).bit_length()), 29)
-    slot = F.pmod(F.xxhash64(column), F.lit(1 << power))
-    blocks = cut(ids.select(slot.alias("__slot")).groupBy(F.shiftright("__slot", 15).alias("__block")).agg(F.bitmap_construct_agg(F.col("__slot").bitwiseAND(32767)).alias("__bits")))
-    marked = F.expr("shiftright(int(conv(hex(substring(__bits, int(shiftright(__slot & 32767, 3)) + 1, 1)), 16, 10)), int(__slot & 7)) & 1 = 1")
-    return lambda df: df.withColumn("__slot", slot).withColumn("__block", F.shiftright("__slot", 15)).join(F.broadcast(blocks), "__block", "left").withColumn(name, F.coalesce(marked, F.lit(False))).drop("__slot", "__block", "__bits")
-
-
 def _bitmap(ids: DataFrame, column: str):
     """Keeps the rows of a DataFrame whose ``column`` may be in ids."""
-    add = _marked(ids, column)
+    add = marked(ids, column)
     return lambda df: add(df).where("__hit").drop("__hit")
 
 
@@ -133,11 +124,11 @@ _ROLE = "struct({} as dx, {} as dy)"
 #: What two parts with an edit each may have more than the same parts of the other line: for whole lines, and for a part that has dx more itself.
 ALL_ROLES = f"array({', '.join(_ROLE.format(*x) for x in ((0, 0), (1, 0), (0, 1), (1, 1)))})"
 ROLES = f"case dx when 0 then array({_ROLE.format(0, 0)}, {_ROLE.format(1, 0)}, {_ROLE.format(0, 1)}) when 1 then array({_ROLE.format(1, 0)}, {_ROLE.format(0, 1)}) else array({_ROLE.format(1, 1)}) end"
-_ID = ("h", "n", "first", "open")
+_ID = ("at", "open")
 
 
 def _finer(rows: DataFrame, parts: str, whole: bool) -> DataFrame:
-    """rows (h, n, first, open, key, x, dx, y, dy): lines known by key but for a text x that has both edits (y NULL), or two that have one each. The same with shorter texts.
+    """rows (at, open, key, x, dx, y, dy): lines known by key but for a text x that has both edits (y NULL), or two that have one each. The same with shorter texts.
 
     A text that has dx characters more than w is cut in ``parts`` (SQL of w) as one of w characters would be; the edits lie in
     one part or in two. key hashes w, which parts these are, and all the others.
@@ -164,14 +155,16 @@ def _finer(rows: DataFrame, parts: str, whole: bool) -> DataFrame:
     return out.unionByName(both.select(*_ID, key.alias("key"), F.expr(part("x", "a", "dx", "wx", "px")).alias("x"), "dx", F.expr(part("y", "b", "dy")).alias("y"), "dy"))
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows of keys that an open line and an earlier one may have, which differ in every text that the key leaves out."""
-    kinds = rows.groupBy("key").agg(
-        F.min("first").alias("lo"), F.max(F.when(F.col("open"), F.col("first"))).alias("hi"),
-        *(f(F.xxhash64(c)).alias(f"{c}_{f.__name__}") for c in ("x", "y") for f in (F.min, F.max)), F.max(F.col("y").isNotNull()).alias("two"),
-    )
-    several = cut(kinds.where("lo < hi and x_min <> x_max and (not two or y_min <> y_max)").select("key"))
-    return _bitmap(several, "key")(rows)
+def _shared(rows: DataFrame, key: str = "key") -> DataFrame:
+    """The rows of keys that an open line and an earlier one may have."""
+    several = rows.groupBy(key).agg(F.min("at").alias("lo"), F.max(F.when(F.col("open"), F.col("at"))).alias("hi")).where("lo < hi")
+    return _bitmap(cut(several.select(key)), key)(rows)
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """The rows of keys whose lines differ in every text that the key leaves out: else they are less than two edits apart, or meet by another key."""
+    kinds = rows.groupBy("key").agg(F.min("at").alias("lo"), F.max(F.when(F.col("open"), F.col("at"))).alias("hi"), *(f(F.xxhash64(c)).alias(f"{c}_{f.__name__}") for c in ("x", "y") for f in (F.min, F.max)), F.max(F.col("y").isNotNull()).alias("two"))
+    return rows.join(kinds.where("lo < hi and x_min <> x_max and (not two or y_min <> y_max)").select("key"), "key", "left_semi")
 
 
 def _edits() -> tuple[str, str]:
@@ -200,22 +193,23 @@ def two_apart(docs: DataFrame, distinct_lines: DataFrame, settled: DataFrame, le
     shared = cut(_third_keys(lines.select(*KEY, "line"), least).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"))
     some = _bitmap(shared, "key")(_third_keys(lines.select(*KEY, "line"), least))
     texts = some.groupBy(*KEY).agg(F.min("line").alias("line")).join(distinct_lines.select(*KEY, "first"), KEY)
-    texts = cut(texts.join(settled.withColumn("open", F.lit(False)), KEY, "left").withColumn("open", F.coalesce("open", F.lit(True))))
+    texts = texts.join(settled.withColumn("open", F.lit(False)), KEY, "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    texts = cut(texts.orderBy("first").withColumn("at", F.monotonically_increasing_id()))  # a number in the lines' order
 
     rows = texts.select(*_ID, F.lit(0).cast("long").alias("key"), F.col("line").alias("x"), F.lit(0).alias("dx"), F.lit(None).cast("string").alias("y"), F.lit(0).alias("dy"))
-    rows = cut(_shared(_finer(rows, str(PARTS), True)))
-    rows = cut(_shared(_finer(rows, "int(ceil(sqrt(w)))", False)))
+    rows = cut(_apart(_shared(_finer(rows, str(PARTS), True))))
+    rows = cut(_apart(_shared(_finer(rows, "int(ceil(sqrt(w)))", False))))
     once, twice = _edits()
     alone = rows.where("y is null").select(*_ID, "key", F.explode(F.expr(twice)).alias("e")).select(*_ID, "e.s", "e.d", F.xxhash64("key", "e.v").alias("variant"))
     both = rows.where("y is not null").withColumn("ex", F.explode(F.expr(once))).withColumns({"x": F.col("y"), "dx": F.col("dy")}).withColumn("ey", F.explode(F.expr(once)))
     both = both.select(*_ID, F.expr("ex.s + ey.s as s"), F.expr("ex.d + ey.d as d"), F.xxhash64("key", "ex.v", "ey.v").alias("variant"))
-    variants = alone.unionByName(both)
-    me = F.struct("first", "h", "n")
-    heads = variants.groupBy("variant").agg(*(F.min(F.when(F.col("d") <= k, me)).alias(f"e{k}") for k in range(3)), F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    variants = cut(_shared(alone.unionByName(both), "variant"))
+    heads = variants.groupBy("variant").agg(*(F.min(F.when(F.col("d") <= k, F.col("at"))).alias(f"e{k}") for k in range(3)))
     # A line with s places open and d characters less may meet one with 2 - s - d less: the earliest such, never all.
-    met = variants.where("open").join(heads, "variant").select("h", "n", "first", F.expr("case 2 - s - d when 2 then e2 when 1 then e1 else e0 end").alias("e"))
-    met = met.where(F.col("e").isNotNull() & (F.col("e.first") < F.col("first"))).select("h", "n", F.col("e.h").alias("eh"), F.col("e.n").alias("en")).distinct()
-    return _verified(met, texts, 2)
+    met = variants.where("open").join(heads, "variant").select("at", F.expr("case 2 - s - d when 2 then e2 when 1 then e1 else e0 end").alias("e")).where("e < at").distinct()
+    earlier = texts.select(F.col("at").alias("e"), F.col("line").alias("earlier"))
+    near = met.join(texts.select("at", *KEY, "line"), "at").join(earlier, "e")
+    return near.where(F.levenshtein("line", "earlier", 2).between(0, 2)).select(*KEY).distinct()
 
 
 def dropped_lines(docs: DataFrame, edits: int = 1, fuzzy_from: int = FUZZY_FROM, two_from: int = TWO_FROM) -> DataFrame:
@@ -254,7 +248,7 @@ def dedup(docs: DataFrame, edits: int = 1, fuzzy_from: int = FUZZY_FROM, two_fro
     dropped = cut(dropped_lines(docs.select("doc_id", "text"), edits, fuzzy_from, two_from).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("drop").alias("__drop")))
     rest = [docs[c].alias(str(k)) for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
     own = docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *rest).alias("__own"))  # other names can't clash in there
-    own = _marked(dropped.select(F.col("__th").alias("th")), "th")(own.withColumn("th", F.xxhash64("text"))).withColumnRenamed("th", "__own_th")
+    own = marked(dropped.select(F.col("__th").alias("th")), "th")(own.withColumn("th", F.xxhash64("text"))).withColumnRenamed("th", "__own_th")
     touched = own.where("__hit")  # only these texts are shuffled
     touched = touched.join(dropped, touched["doc_id"].eqNullSafe(dropped["__id"]) & (touched["__own_th"] == dropped["__th"]), "left").select("doc_id", "text", "__own", "__drop")
     rows = touched.unionByName(own.where("not __hit").select("doc_id", "text", "__own", F.lit(None).cast("array<bigint>").alias("__drop")))
