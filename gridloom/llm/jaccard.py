@@ -15,6 +15,8 @@
 
 No set of pairs inside a group of copies is ever formed; what is shuffled is the prefixes and the compared sets.
 
+Two sets are one only if 128 bits of their shingles' hashes agree.
+
 Nulls and odd input: null or word-less texts have no shingles, link with nothing and are their own component; fewer than
 five words make one shingle; a null doc_id stays a row and never is a component's least id unless alone (then null);
 repeated rows are documents of equal sets; an empty table gives an empty result; other columns are kept by the stage.
@@ -31,17 +33,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import cut, hashed_bits, ship, table
+from .common import cut, hashed_bits, marked, ship, table
 from .graph import components
 
 WIDTH = 5
 PERCENT = 80
 HOT = 1 << 17
 FRAGMENTS = 8
+MOST_TWINS = 10_000
+
+
+def _sids(hashes: np.ndarray, bits: int) -> tuple[int, int]:
+    """Two numbers that name a set, the first of so many bits, the second of 64."""
+    raw = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True) >> (64 - bits), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def _sid(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _sid(hashes: np.ndarray, twins: frozenset, bits: int) -> int:
+    """A set's id: the first of its numbers, or the second where several sets have the first."""
+    one, two = _sids(hashes, bits)
+    return two if one in twins else one
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -50,33 +61,33 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
             yield b.slice(at, rows)
 
 
-def _profile(width: int):
-    """(doc_id, sid, n, null, null) for each document; (null, null, null, shingle, times) for those that recur in a task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64()), ("times", pa.int64())])
+def _profile(width: int, bits: int):
+    """(doc_id, sid, sid2, n) for each document; (shingle, times) for those that recur in a task."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "sid", "sid2", "n", "shingle", "times")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-        known: set[int] = set()
+        known: set[tuple[int, int]] = set()
         batches = _slices(batches)
 
         def recurring() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(held), return_counts=True)
             keep = times > 1
             empty = pa.nulls(int(keep.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(found[keep].view(np.int64)), pa.array(times[keep])], schema=schema)
+            return pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(found[keep].view(np.int64)), pa.array(times[keep])], schema=schema)
 
         for b in batches:
             sids, sizes = [], []
             for found in words.shingles_of(b.column("text").to_pylist(), width):
                 sizes.append(len(found))
-                sids.append(_sid(found) if len(found) else None)
+                sids.append(_sids(found, bits) if len(found) else (None, None))
                 if len(found) and sids[-1] not in known:
                     known.add(sids[-1])
                     held.append(found)
                     size += len(found)
             empty = pa.nulls(len(sids), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), empty, empty], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([x[k] for x in sids], pa.int64()) for k in (0, 1)), pa.array(sizes, pa.int64()), empty, empty], schema=schema)
             if size > 1 << 22:
                 yield recurring()
                 held, size, known = [], 0, set()
@@ -86,7 +97,7 @@ def _profile(width: int):
     return run
 
 
-def _prefixes(width: int, percent: int, hot: np.ndarray, ranks: np.ndarray):
+def _prefixes(width: int, percent: int, hot, ranks, twins: frozenset, bits: int):
     """(shingle, sid, n, pos, rare): the first shingles of each set in the global order; rare: how many aren't hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +107,7 @@ def _prefixes(width: int, percent: int, hot: np.ndarray, ranks: np.ndarray):
             columns: list[list[np.ndarray]] = [[] for _ in range(5)]
             for found in words.shingles_of(b.column("text").to_pylist(), width):
                 n = len(found)
-                if not n or (sid := _sid(found)) in known:
+                if not n or (sid := _sid(found, twins, bits)) in known:
                     continue
                 known.add(sid)
                 if len(known) > 1 << 20:
@@ -161,17 +172,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[many].astype(np.int64)) for x in (key, sid, n, pos, *leads)], names)
 
 
-def _fragments(width: int, fragments: int, bits, power: int):
+def _fragments(width: int, fragments: int, marks_, power: int, twins: frozenset, bits: int):
     """(fragment, sid, part) of the sets whose sid may be wanted."""
     from .common import xxhash64_long
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.frombuffer(bits.value, np.uint8)
+        marks = np.frombuffer(marks_.value, np.uint8)
         known: set[int] = set()
         for b in _slices(batches):
             out: list[list] = [[], [], []]
             for found in words.shingles_of(b.column("text").to_pylist(), width):
-                if not len(found) or (sid := _sid(found)) in known:
+                if not len(found) or (sid := _sid(found, twins, bits)) in known:
                     continue
                 slot = xxhash64_long(sid) & ((1 << power) - 1)
                 if not marks[slot >> 3] >> (slot & 7) & 1:
@@ -231,12 +242,12 @@ def _by_prefixes(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFra
     return both.where(F.size(F.array_intersect("ka", "kb")) + _after(percent) >= _enough(percent, "na", "nb")).select("a", "b", "na", "nb")
 
 
-def overlaps(docs: DataFrame, pairs: DataFrame, width: int, fragments: int) -> DataFrame:
+def overlaps(docs: DataFrame, pairs: DataFrame, width: int, fragments: int, twins: frozenset = frozenset(), name_bits: int = 64) -> DataFrame:
     """pairs (a, b, na, nb) with the exact size of their intersection, summed over fragments; pairs without any are absent."""
     spark = docs.sparkSession
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     bits, power = hashed_bits(wanted, "sid", wanted.count())
-    parts = docs.select("text").mapInArrow(_fragments(width, fragments, spark.sparkContext.broadcast(bits), power), "fragment long, sid long, part array<long>")
+    parts = docs.select("text").mapInArrow(_fragments(width, fragments, spark.sparkContext.broadcast(bits), power, twins, name_bits), "fragment long, sid long, part array<long>")
     # One exchange serves both joins; neither the semi join with wanted nor a checkpoint would move these rows less.
     parts = parts.repartition("fragment", "sid").dropDuplicates(["fragment", "sid"])
     asked = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)).cast("array<long>")))
@@ -246,12 +257,19 @@ def overlaps(docs: DataFrame, pairs: DataFrame, width: int, fragments: int) -> D
     return counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("overlap"))
 
 
-def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragments: int = FRAGMENTS, hot: int = HOT) -> DataFrame:
+def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragments: int = FRAGMENTS, hot: int = HOT, name_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text")
-    profile = cut(docs.mapInArrow(_profile(width), "doc_id long, sid long, n long, shingle long, times long"))
+    profile = cut(docs.mapInArrow(_profile(width, name_bits), "doc_id long, sid long, sid2 long, n long, shingle long, times long"))
+    # Sets are named by 64 bits, but for the few whose 64 bits another set has too (of 10**10 sets, some three pairs).
+    twins = profile.where("sid is not null").groupBy("sid").agg(F.min("sid2").alias("lo"), F.max("sid2").alias("hi")).where("lo <> hi").select("sid")
+    if len(found := twins.limit(MOST_TWINS + 1).collect()) > MOST_TWINS:
+        raise ValueError("more equal 64-bit names of unequal sets than chance can give")
+    twins = frozenset(r.sid for r in found)
+    if twins:
+        profile = profile.withColumn("sid", F.when(F.col("sid").isin(list(twins)), F.col("sid2")).otherwise(F.col("sid")))
 
     recur = cut(profile.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where("times >= 8"))
     levels = recur.groupBy(F.floor(F.log2("times")).alias("level")).count().orderBy(F.desc("level")).collect()
@@ -267,7 +285,7 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragmen
     rank[np.lexsort((listed, frequent[:, 1]))] = np.arange(len(listed))
     held = spark.sparkContext.broadcast(listed[by_hash]), spark.sparkContext.broadcast(rank[by_hash])
 
-    entries = docs.select("text").mapInArrow(_prefixes(width, percent, *held), "shingle long, sid long, n int, pos int, rare int")
+    entries = docs.select("text").mapInArrow(_prefixes(width, percent, *held, twins, name_bits), "shingle long, sid long, n int, pos int, rare int")
     shared = cut(entries.repartition("shingle").sortWithinPartitions("shingle", "rare", "n", "sid").mapInArrow(_runs, "shingle long, sid long, n long, pos long, lead long, lead_n long, lead_pos long"))
 
     def ordered(df: DataFrame) -> DataFrame:
@@ -275,7 +293,7 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragmen
         return df.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na")))).distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:
-        found = overlaps(docs, pairs, width, fragments)
+        found = overlaps(docs, pairs, width, fragments, twins, name_bits)
         return found.where(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
     # With its leader a set may share more than is counted here; a link missed for that is met across components below.
@@ -314,6 +332,20 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the least id stays; rows with a null id stay."""
-    found = similar(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: of each component one row stays, the one with the least id (null ids last, ties by a hash of the row).
+
+    Rows are told apart by id and text, so each text of a repeated id fares by its own component, and of repeated rows one
+    stays. Rows without a shingle are linked with nothing and all stay. Other columns are kept, whatever their names.
+    """
+    names = docs.columns
+    row = F.struct(*(docs[c].alias(str(k)) for k, c in enumerate(names)))
+    rows = docs.select(row.alias("row"), docs["doc_id"].alias("id"), docs["text"].alias("text")).withColumn("rid", F.xxhash64("id", "text"))
+    found = similar(rows.select(F.col("rid").alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("rid"), F.col("component_id").alias("root")).distinct()
+    members = cut(rows.groupBy("rid", "id").agg(F.count("*").alias("copies")).join(found, "rid"))
+    kept = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("kept"), F.sum("copies").alias("rows")).where("rows > 1")
+    stays = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("rid") == F.col("kept.rid"))
+    judged = cut(members.join(kept, "root").withColumn("stays", stays).where("not stays or copies > 1").select("rid", F.col("id").alias("jid"), "stays"))
+    seen = marked(judged, "rid")(rows)  # only rows that may be judged are shuffled
+    touched = seen.where("__hit").join(judged.withColumnRenamed("rid", "jrid"), (F.col("rid") == F.col("jrid")) & F.col("id").eqNullSafe(F.col("jid")), "left").select("row", "id", "rid", "stays")
+    out = seen.where("not __hit").select("row").unionByName(touched.where("stays is null").select("row")).unionByName(touched.where("stays").dropDuplicates(["rid", "id"]).select("row"))
+    return out.select(*(F.col("row").getField(str(k)).alias(c) for k, c in enumerate(names)))
