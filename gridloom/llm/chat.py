@@ -78,18 +78,22 @@ def loss_mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
 
 def masked_text(formatted: str, offsets: np.ndarray, mask: np.ndarray) -> str:
     """All that the masked tokens cover, each place once, unescaped."""
-    out, at = [], 0
-    for start, end in offsets[mask].tolist():
-        out.append(formatted[max(start, at) : max(end, at)])
-        at = max(at, end)
-    return unescape("".join(out))
+    spans = offsets[mask]
+    if not len(spans):
+        return ""
+    reach = np.maximum.accumulate(spans[:, 1])
+    first = np.flatnonzero(np.append(True, spans[1:, 0] > reach[:-1]))
+    return unescape("".join([formatted[a:b] for a, b in zip(spans[first, 0].tolist(), reach[np.append(first[1:], len(spans)) - 1].tolist(), strict=True)]))
 
 
-def format_chats(rows: DataFrame, path: str | None = None, masked: str = "assistant") -> DataFrame:
-    """conv_id, formatted, ids, loss_mask and the offsets of each conversation's tokens."""
+_CHATS = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.bool_())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+_DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
+def _chats(rows: DataFrame, path: str | None, masked: str, then, schema: str) -> DataFrame:
+    """then(batch of _CHATS) for the conversations of rows; each is gathered, formatted and encoded in one task."""
     ship(rows.sparkSession)
     path = path or tokens.default_paths()[0]
-    schema = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.bool_())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 
     def encoded(chats: list[tuple]) -> pa.RecordBatch:
         rendered = [render(turns, masked) for _, turns in chats]
@@ -99,7 +103,7 @@ def format_chats(rows: DataFrame, path: str | None = None, masked: str = "assist
             [c for c, _ in chats], [x for x, _ in rendered], [e.ids for e in found],
             [loss_mask(o, spans) for o, (_, spans) in zip(offsets, rendered, strict=True)], [o[:, 0] for o in offsets], [o[:, 1] for o in offsets],
         ]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        return then(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CHATS, strict=True)], schema=_CHATS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chats: list[tuple] = []
@@ -117,30 +121,41 @@ def format_chats(rows: DataFrame, path: str | None = None, masked: str = "assist
             yield encoded(chats)
 
     ordered = rows.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(run, "conv_id long, formatted string, ids array<int>, loss_mask array<boolean>, starts array<int>, ends array<int>")
+    return ordered.mapInArrow(run, schema)
 
 
-def digests(chats: DataFrame) -> DataFrame:
+def format_chats(rows: DataFrame, path: str | None = None, masked: str = "assistant") -> DataFrame:
+    """conv_id, formatted, ids, loss_mask and the offsets of each conversation's tokens."""
+    return _chats(rows, path, masked, lambda b: b, "conv_id long, formatted string, ids array<int>, loss_mask array<boolean>, starts array<int>, ends array<int>")
+
+
+def _digest(b: pa.RecordBatch) -> pa.RecordBatch:
     """What the contract asks for, read back from the formatted strings, the masks and the offsets."""
+    out: list[list] = [[] for _ in range(6)]
+    list_of = lambda c, k: b.column(c)[k].values.to_numpy(zero_copy_only=False)
+    for k, (conv_id, formatted) in enumerate(zip(b.column("conv_id").to_pylist(), b.column("formatted").to_pylist(), strict=True)):
+        turns = parse(formatted)
+        offsets = np.stack([list_of("starts", k), list_of("ends", k)], axis=1).astype(np.int64)
+        said = masked_text(formatted, offsets, list_of("loss_mask", k).astype(bool))
+        whole = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
+        for column, x in zip(out, (conv_id, len(turns), whole, len(said), hashlib.sha256(said.encode()).hexdigest(), len(formatted)), strict=True):
+            column.append(x)
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+
+def digests(chats: DataFrame) -> DataFrame:
+    """The digests of stored chats, as format_chats gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for row in b.to_pylist():
-                turns = parse(row["formatted"])
-                offsets = np.stack([np.array(row["starts"], np.int64), np.array(row["ends"], np.int64)], axis=1)
-                said = masked_text(row["formatted"], offsets, np.array(row["loss_mask"], bool))
-                whole = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
-                for column, x in zip(out, (row["conv_id"], len(turns), whole, len(said), hashlib.sha256(said.encode()).hexdigest(), len(row["formatted"])), strict=True):
-                    column.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            yield _digest(b)
 
-    return chats.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return chats.mapInArrow(run, _DIGESTS)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return digests(format_chats(rows.unionByName(more)))
+    return _chats(rows.unionByName(more), None, "assistant", _digest, _DIGESTS)
