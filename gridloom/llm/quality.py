@@ -179,6 +179,9 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejected documents go."""
+    """Pipeline stage: rejected documents go, those with a score below a half. Columns are kept, whatever their names."""
     model = learn(docs, table(spark, sf_dir, "labels"), learn_from=~held_out())
-    return score(docs, model, column="quality_score").where("quality_score >= 0.5").drop("quality_score")
+    names = docs.columns
+    rest = F.struct(F.lit(0).alias("none"), *(docs[c].alias(f"c{k}") for k, c in enumerate(names) if c != "text"))  # no name can clash in there
+    kept = score(docs.select(docs["text"].alias("text"), rest.alias("rest")), model).where("score >= 0.5")
+    return kept.select(*(F.col("text") if c == "text" else F.col("rest").getField(f"c{k}").alias(c) for k, c in enumerate(names)))
