@@ -91,3 +91,17 @@ def hashed_color(key: Column) -> Column:
     sextant = F.floor(hue).cast("int")
     pick = lambda *cs: F.round(255 * F.element_at(F.array(*[F.lit(c) if isinstance(c, float) else c for c in cs]), sextant + 1)).cast("int")
     return F.struct(pick(v, q, p, p, t, v).alias("r"), pick(t, v, v, q, p, p).alias("g"), pick(p, p, t, v, v, q).alias("b"))
+
+
+def recolored(r: Column, g: Column, b: Column, name: Column) -> Column:
+    """The fill of a path as drawn: near black turns white on fill layers. STRUCT<r,g,b>."""
+    near_black = F.greatest(r, g, b) <= 5
+    white = F.contains(name, F.lit("Fill")) & near_black
+    return F.struct(*(F.when(white, F.lit(255)).otherwise(c).cast("int").alias(k) for k, c in (("r", r), ("g", g), ("b", b))))
+
+
+def ramp_color(share: Column) -> Column:
+    """A heat colour from blue (0) to red (1), STRUCT<r,g,b>."""
+    t = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+    lerp = lambda a, z: F.round(a + (z - a) * t).cast("int")
+    return F.struct(lerp(64, 224).alias("r"), lerp(96, 64).alias("g"), lerp(224, 48).alias("b"))

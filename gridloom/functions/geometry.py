@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +56,18 @@ def sample_cubic(p0: Column, p1: Column, p2: Column, p3: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), k), lambda i: bezier_point(p0, p1, p2, p3, i / k))
 
 
+def sample_pair(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """The samples of two cubics (four points each) that join, the joint once."""
+    second = sample_cubic(*b)
+    return F.concat(sample_cubic(*a), F.slice(second, 2, F.size(second) - 1))
+
+
+def central_tangent(ring: Column, i: Column) -> Column:
+    """The direction from the ring's point before to the one after."""
+    n = F.size(ring)
+    return norm(sub(F.get(ring, F.pmod(i + 1, n)), F.get(ring, F.pmod(i - 1, n))))
+
+
 def dist2_to_segment(p: Column, a: Column, b: Column) -> Column:
     d = sub(b, a)
     size = dot(d, d)
@@ -99,6 +113,18 @@ def scale(cubics: Column, k) -> Column:
     return F.transform(cubics, lambda c: F.struct(*(mul(c[x], k).alias(x) for x in ("c1", "c2", "e"))))
 
 
+def place(start: Column, cubics: Column, ratio, dx, dy) -> Column:
+    """STRUCT<start, cubics> rescaled, then moved: from a layer's scale and origin to the document's."""
+    moved = translate(scale(cubics, ratio), dx, dy)
+    return F.struct(add(mul(start, ratio), point(F.lit(dx), F.lit(dy))).alias("start"), moved.alias("cubics"))
+
+
+def span_key(start: Column, cubics: Column) -> Column:
+    """A 64-bit name of a curve, the same in both directions."""
+    back = reverse_cubics(start, cubics)
+    return F.least(F.xxhash64(start, cubics), F.xxhash64(back["start"], back["cubics"]))
+
+
 def reverse_cubics(start: Column, cubics: Column) -> Column:
     """The same path from its end: STRUCT<start, cubics>."""
     n = F.size(cubics)
@@ -133,3 +159,23 @@ def inside_polygon(x: Column, y: Column, ring: Column) -> Column:
 
 def mean_thickness(area: Column, perimeter: Column) -> Column:
     return area / (0.5 * F.greatest(perimeter, F.lit(1)))
+
+
+def rect(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """A rectangle by its edges, y upwards: STRUCT<left, top, right, bottom>."""
+    return F.struct(x.alias("left"), y.alias("top"), (x + w).alias("right"), (y - h).alias("bottom"))
+
+
+def rect_size(r: Column) -> Column:
+    return F.struct((r["right"] - r["left"]).alias("w"), (r["top"] - r["bottom"]).alias("h"))
+
+
+def fit_square(w: Column, h: Column, side: int = 512, padded: bool = False) -> Column:
+    """How layers of a w x h board come to a square of the side (twice as large with padding): STRUCT<ratio, dx, dy>, centred.
+
+    A padded board must be a multiple of the side; else NULL.
+    """
+    target = 2 * side if padded else side
+    ratio = F.lit(float(target)) / F.greatest(w, h)
+    out = F.struct(ratio.alias("ratio"), ((target - w * ratio) / 2).alias("dx"), ((target - h * ratio) / 2).alias("dy"))
+    return F.when((w % side == 0) & (h % side == 0), out) if padded else out

@@ -107,3 +107,21 @@ def fit_view(w: Column, h: Column, vw: Column, vh: Column) -> Column:
 
 def tidy_number(v: Column) -> Column:
     return F.round(v * 1000) / 1000
+
+
+def to_screen(x: Column, y: Column, view: Column) -> Column:
+    """An image point in a view (STRUCT<zoom, dx, dy>)."""
+    return F.struct((x * view["zoom"] + view["dx"]).alias("x"), (y * view["zoom"] + view["dy"]).alias("y"))
+
+
+def to_image(x: Column, y: Column, view: Column) -> Column:
+    return F.struct(((x - view["dx"]) / view["zoom"]).alias("x"), ((y - view["dy"]) / view["zoom"]).alias("y"))
+
+
+def with_setting(settings: Column, field: str, value: Column | None) -> Column:
+    """A settings struct with one field set, or cleared (None)."""
+    return settings.withField(field, F.lit(None) if value is None else value)
+
+
+def is_set(settings: Column, field: str) -> Column:
+    return settings[field].isNotNull()

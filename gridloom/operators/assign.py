@@ -33,11 +33,12 @@ def nearest_color(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     return found.withColumn("best", F.array_min(each)).select(*pixels.columns, F.col("best.idx").alias("idx"), F.col("best.d2").alias("d2"))
 
 
-def constrained_nearest(targets: DataFrame, sources: DataFrame, scale: int, cost: Column, by: Sequence[str] = ()) -> DataFrame:
+def constrained_nearest(targets: DataFrame, sources: DataFrame, scale: int, cost: Column, by: Sequence[str] = (), palette: DataFrame | None = None) -> DataFrame:
     """targets (x, y, ...), each with the idx of least cost among the 3 x 3 source cells (x, y, idx) around its own.
 
     A target lies over the source cell (x div scale, y div scale). Equal costs go to the cell met first, row by row.
-    Targets whose neighbourhood has no idx get NULL; ``targets`` gives cost's columns beside idx.
+    Targets whose neighbourhood has no idx get the one of least cost in the palette (by, idx), ties to the least, or NULL
+    without a palette; ``targets`` gives cost's columns beside idx.
     """
     around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit((dy + 1) * 3 + dx + 1).alias("place")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
     columns = [c for c in targets.columns if c != "idx"]
@@ -46,7 +47,13 @@ def constrained_nearest(targets: DataFrame, sources: DataFrame, scale: int, cost
     given = sources.select(*by, F.col("x").cast("long").alias("sx"), F.col("y").cast("long").alias("sy"), "idx").where("idx is not null")
     joined = asked.join(given, [*by, "sx", "sy"], "left")
     best = F.min_by("idx", F.when(F.col("idx").isNotNull(), F.struct(cost.alias("cost"), F.col("s.place").alias("place"))))
-    return joined.groupBy(*columns).agg(best.alias("idx"))
+    found = joined.groupBy(*columns).agg(best.alias("idx"))
+    if palette is None:
+        return found
+    left = found.where("idx is null").drop("idx")
+    offered = palette.select(*by, "idx")
+    every = left.join(offered, list(by)) if by else left.join(_small(offered), F.lit(True))
+    return found.where("idx is not null").unionByName(every.groupBy(*columns).agg(F.min_by("idx", F.struct(cost.alias("cost"), "idx")).alias("idx")))
 
 
 def swatch_gaps(palette: DataFrame) -> DataFrame:

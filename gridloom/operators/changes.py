@@ -53,9 +53,17 @@ def open_only(results: DataFrame, open_documents: DataFrame, key: str) -> DataFr
     return results.join(open_documents.select(key), key, "left_semi")
 
 
+def content_sums(columns: Sequence[str]) -> list[Column]:
+    """Aggregates that name a multiset of rows, in any order: their number and two wrapped sums of the halves of each row's MD5. Repeated rows add up."""
+    shown = F.concat(*(x for c in columns for x in (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")), F.lit("\x1f"))))
+    half = lambda at: F.conv(F.substring(F.md5(shown.cast("binary")), at, 15), 16, 10).cast("decimal(20,0)")
+    wrapped = lambda at: (F.sum(half(at)) % F.lit(1 << 60).cast("decimal(20,0)")).cast("long")
+    return [F.count("*").alias("n"), wrapped(1).alias("content"), wrapped(17).alias("content2")]
+
+
 def fingerprint(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """An order-free content hash of each group."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("content"))
+    """An order-free content hash of each group: n, content, content2."""
+    return rows.groupBy(*by).agg(*content_sums(columns))
 
 
 def first_divergence(current: DataFrame, baseline: DataFrame, keys: Sequence[str], stages: Sequence[str]) -> DataFrame:
@@ -75,10 +83,10 @@ def touch(recents: DataFrame, opened: DataFrame, cap: int = 40) -> DataFrame:
 
 
 def stage_report(timings: DataFrame, stage: str, micros: str) -> DataFrame:
-    """Each stage's sum and its share of all, in per cent. The sums (one row a stage) meet in one task, nothing else."""
+    """Each stage's sum and its share of all, in per cent, slowest first. The sums (one row a stage) meet in one task, nothing else."""
     sums = timings.groupBy(stage).agg(F.sum(micros).alias("total"), F.count("*").alias("n"))
     everything = F.sum("total").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return sums.withColumn("share", F.round(100 * F.col("total") / everything, 6))
+    return sums.withColumn("share", F.round(100 * F.col("total") / everything, 6)).orderBy(F.desc("total"), stage)
 
 
 def best_of(timings: DataFrame, by: Sequence[str], run: str, micros: str) -> DataFrame:
@@ -90,3 +98,46 @@ def best_of(timings: DataFrame, by: Sequence[str], run: str, micros: str) -> Dat
 def misses(wanted: DataFrame, cache: DataFrame, key: Sequence[str]) -> DataFrame:
     """What the cache table lacks and so must be computed."""
     return wanted.join(cache.select(*key), list(key), "left_anti")
+
+
+def bumped(switches: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """The live generation after each switch to another layer: one more each time, so that parts under way become stale."""
+    return switches.withColumn("generation", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+
+
+def accepted(parts: DataFrame, live: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """parts (by, order, generation) with whether each was live when it came: live (by, order, generation) says which generation holds from when on."""
+    both = live.select(*by, order, F.col("generation").alias("_live"), F.lit(None).cast("long").alias("generation")).unionByName(
+        parts.select(*by, order, F.lit(None).cast("long").alias("_live"), F.col("generation").cast("long").alias("generation")))
+    w = Window.partitionBy(*by).orderBy(order, F.col("_live").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_now", F.last("_live", ignorenulls=True).over(w)).where("_live is null")
+    return found.select(*by, order, "generation", F.col("generation").eqNullSafe(F.col("_now")).alias("accepted"))
+
+
+def latched(requests: DataFrame, by: Sequence[str], start: str, took: str) -> DataFrame:
+    """Requests (by, start, took in the same unit) of which one runs at a time: those that begin a run; what comes while one is running becomes one run after it.
+
+    One pass over each document's requests, in order.
+    """
+    import pandas as pd
+
+    by = list(by)
+    kinds = dict(requests.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out, busy_till, waiting, last = [], None, 0, 0
+        for at, length in rows.sort_values(start)[[start, took]].itertuples(index=False):
+            while busy_till is not None and busy_till <= at and waiting:
+                out.append((busy_till, waiting))
+                busy_till, waiting = busy_till + last, 0
+            if busy_till is not None and busy_till > at:
+                waiting += 1
+                last = length
+            else:
+                out.append((at, 1))
+                busy_till = at + length
+        if waiting:
+            out.append((busy_till, waiting))
+        return pd.DataFrame({**{c: rows[c].iloc[0] for c in by}, "began": [int(a) for a, _ in out], "requests": [n for _, n in out]})
+
+    return requests.select(*by, start, took).groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), "began long, requests long"]))

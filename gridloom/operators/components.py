@@ -29,22 +29,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _sum(pairs: DataFrame) -> tuple:
+    """Of distinct pairs, so that no two cancel out."""
     return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("n", "r")), F.bit_xor(F.xxhash64("r", "n"))).first())
 
 
-def ancestors(links: DataFrame, most_levels: int = 64) -> DataFrame:
-    """links (child, parent). (node, ancestor, steps) for each proper ancestor; each round doubles the steps, so a chain of n takes log2(n).
+def ancestors(links: DataFrame) -> DataFrame:
+    """links (child, parent). (node, ancestor, steps) for each proper ancestor, steps the fewest; a node on a cycle is among its own ancestors.
 
-    A node that reaches itself (a cycle) is reported with itself as an ancestor and not followed further than most_levels.
+    Each round doubles the steps that are covered, so a chain of n takes log2(n) rounds, until none adds a pair.
     """
     known = cut(links.where("parent is not null").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("steps")).distinct())
-    reach = 1
-    while reach < most_levels:
+    pairs = known.count()
+    while True:
         longer = known.join(known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"), F.col("steps").alias("more")), "ancestor")
         longer = longer.select("node", F.col("next").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps"))
-        after = cut(known.unionByName(longer).groupBy("node", "ancestor").agg(F.min("steps").alias("steps")))
-        reach *= 2
-        if after.count() == known.count():
-            return after
-        known = after
-    return known
+        known = cut(known.unionByName(longer).groupBy("node", "ancestor").agg(F.min("steps").alias("steps")))
+        if pairs == (pairs := known.count()):
+            return known

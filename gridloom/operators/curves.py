@@ -6,12 +6,15 @@ point and gives one row for each cubic.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators import grid
+from gridloom.plans.lineage import cut
 
 
 def boundary_edges(cells: DataFrame, label: str = "region") -> DataFrame:
@@ -67,39 +70,38 @@ def rings(cells: DataFrame, label: str = "region") -> DataFrame:
     return edges.groupBy(label).applyInPandas(run, f"{label} {dict(edges.dtypes)[label]}, ring int, k int, x double, y double")
 
 
+def _turn(points: np.ndarray, i: int, before: Iterable[int], after: Iterable[int], arm: float) -> float:
+    """The turn at a point between the directions to the first points on either side that are ``arm`` away as the crow flies, else to the last ones."""
+
+    def direction(places: Iterable[int]) -> np.ndarray:
+        off = np.zeros(2)
+        for j in places:
+            off = points[j] - points[i]
+            if off @ off >= arm * arm:
+                break
+        return _unit(off)
+
+    return float(np.arccos(np.clip(-direction(before) @ direction(after), -1, 1)))
+
+
+def _sharpest(turns: np.ndarray, threshold: float) -> list[int]:
+    """Of each run of turns from the threshold on the largest, the first of equal ones."""
+    sharp = np.flatnonzero(turns >= threshold)
+    runs = np.split(sharp, np.flatnonzero(np.diff(sharp) > 1) + 1) if len(sharp) else []
+    return [int(r[np.argmax(turns[r])]) for r in runs]
+
+
 def corners(points: np.ndarray, threshold: float, arm: float) -> np.ndarray:
-    """Corner indices of a ring: the turn between the directions over at least ``arm`` to both sides reaches the threshold; of a run of such points the sharpest (first)."""
+    """Corner indices of a ring: where the turn reaches the threshold, of a run of such points the sharpest (first); a run may go on past the last point."""
     n = len(points)
     if n < 3:
         return np.arange(n)
-    steps = np.linalg.norm(np.roll(points, -1, 0) - points, axis=1)
-    turn = np.zeros(n)
-    for i in range(n):
-        a, far = i, 0.0
-        while far < arm and (a - 1) % n != i:
-            a = (a - 1) % n
-            far += steps[a]
-        b, far = i, 0.0
-        while far < arm and (b + 1) % n != i:
-            far += steps[b]
-            b = (b + 1) % n
-        u, v = points[i] - points[a], points[b] - points[i]
-        size = np.linalg.norm(u) * np.linalg.norm(v)
-        turn[i] = np.arccos(np.clip(u @ v / size, -1, 1)) if size > 0 else 0.0
-    sharp = turn >= threshold
-    if sharp.all():
-        return np.arange(n)
-    if not sharp.any():
-        return np.zeros(0, int)
-    start = int(np.flatnonzero(~sharp)[0])
-    out, run = [], []
-    for k in [(start + j) % n for j in range(n + 1)]:
-        if sharp[k]:
-            run.append(k)
-        elif run:
-            out.append(max(run, key=lambda j: turn[j]))
-            run = []
-    return np.sort(np.array(out))
+    # Back at the point itself (no point is that far) there is no direction, which counts as a right angle.
+    turns = np.array([_turn(points, i, ((i - k) % n for k in range(1, n + 1)), ((i + k) % n for k in range(1, n + 1)), arm) for i in range(n)])
+    out = _sharpest(turns, threshold)
+    if len(out) > 1 and turns[0] >= threshold and turns[-1] >= threshold:
+        out.pop(-1 if turns[out[0]] >= turns[out[-1]] else 0)
+    return np.array(out, int)
 
 
 def smooth(points: np.ndarray, fixed: np.ndarray, radius: float) -> np.ndarray:
@@ -123,24 +125,10 @@ def smooth(points: np.ndarray, fixed: np.ndarray, radius: float) -> np.ndarray:
 def corners_open(points: np.ndarray, threshold: float, arm: float) -> np.ndarray:
     """Corners of an open chain, its ends excluded: as ``corners``, but arms stop at the ends."""
     n = len(points)
-    if n < 3:
-        return np.zeros(0, int)
-    at = np.concatenate([[0], np.cumsum(np.linalg.norm(np.diff(points, axis=0), axis=1))])
-    turn = np.zeros(n)
+    turns = np.full(max(n, 1), -1.0)
     for i in range(1, n - 1):
-        a = max(0, int(np.searchsorted(at, at[i] - arm, "right")) - 1)
-        b = min(n - 1, int(np.searchsorted(at, at[i] + arm, "left")))
-        u, v = points[i] - points[a], points[b] - points[i]
-        size = np.linalg.norm(u) * np.linalg.norm(v)
-        turn[i] = np.arccos(np.clip(u @ v / size, -1, 1)) if size > 0 else 0.0
-    out, run = [], []
-    for i in range(1, n):
-        if i < n - 1 and turn[i] >= threshold:
-            run.append(i)
-        elif run:
-            out.append(max(run, key=lambda j: turn[j]))
-            run = []
-    return np.array(out, int)
+        turns[i] = _turn(points, i, range(i - 1, -1, -1), range(i + 1, n), arm)
+    return np.array(_sharpest(turns, threshold), int)
 
 
 def smooth_open(points: np.ndarray, fixed: np.ndarray, radius: float) -> np.ndarray:
@@ -201,7 +189,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _solve(points: np.ndarray, t: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Least-squares handle lengths along fixed end directions; a third of the chord where that degenerates."""
+    """Least-squares handle lengths along fixed end directions; a third of the chord where that is degenerate, inverted or longer than ten chords."""
     b = np.stack([(1 - t) ** 3, 3 * t * (1 - t) ** 2, 3 * t**2 * (1 - t), t**3])
     chord = np.linalg.norm(points[-1] - points[0])
     a1, a2 = b[1][:, None] * u, b[2][:, None] * v
@@ -209,10 +197,32 @@ def _solve(points: np.ndarray, t: np.ndarray, u: np.ndarray, v: np.ndarray) -> n
     m = np.array([[(a1 * a1).sum(), (a1 * a2).sum()], [(a1 * a2).sum(), (a2 * a2).sum()]])
     y = np.array([(a1 * rest).sum(), (a2 * rest).sum()])
     det = np.linalg.det(m)
-    left, right = np.linalg.solve(m, y) if abs(det) > 1e-12 else (0.0, 0.0)
-    if left < 1e-6 * chord or right < 1e-6 * chord:
-        left = right = chord / 3
-    return np.array([points[0], points[0] + u * left, points[-1] + v * right, points[-1]])
+    handles = np.linalg.solve(m, y) if abs(det) > 1e-12 else np.zeros(2)
+    if not np.isfinite(handles).all() or handles.min() < 1e-6 * chord or handles.max() > 10 * chord:
+        handles = np.full(2, chord / 3)
+    return np.array([points[0], points[0] + u * handles[0], points[-1] + v * handles[1], points[-1]])
+
+
+def _worst(points: np.ndarray, p: np.ndarray, t: np.ndarray, slack: np.ndarray) -> tuple[float, int]:
+    """The largest squared error, each over its squared slack, and where to split.
+
+    It is taken at the inner points, and between points, where a curve can bow off the chord it should follow, at samples.
+    """
+    at_points = ((bezier(p, t[1:-1]) - points[1:-1]) ** 2).sum(1) / slack[1:-1] ** 2
+    chords = points[1:] - points[:-1]
+    sizes = np.sqrt((chords**2).sum(1))
+    k = np.clip(np.ceil(0.5 * sizes), 1, 32).astype(int)
+    owner = np.repeat(np.arange(len(k)), k)
+    share = (np.arange(len(owner)) - np.repeat(np.cumsum(k) - k, k) + 1) / (k[owner] + 1)
+    curve = bezier(p, t[owner] + (t[owner + 1] - t[owner]) * share)
+    along = np.clip(((curve - points[owner]) * chords[owner]).sum(1) / np.maximum(sizes[owner] ** 2, 1e-24), 0, 1)
+    off = curve - points[owner] - along[:, None] * chords[owner]
+    between = (off**2).sum(1) / np.minimum(slack[owner], slack[owner + 1]) ** 2
+    errors = np.concatenate([at_points, between])
+    worst = int(np.argmax(errors))
+    if errors[worst] <= 0:
+        return 0.0, len(points) // 2
+    return float(errors[worst]), worst + 1 if worst < len(at_points) else min(int(owner[worst - len(at_points)]) + 1, len(points) - 2)
 
 
 def _nearer(p: np.ndarray, points: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -227,48 +237,54 @@ def _nearer(p: np.ndarray, points: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.clip(t - step, 0, 1)
 
 
-def fit_open(points: np.ndarray, tolerance: float, u: np.ndarray | None = None, v: np.ndarray | None = None, depth: int = 32) -> list[np.ndarray]:
-    """Cubics (4 x 2) along an open chain within the tolerance at its points; split at the worst point where one isn't enough."""
-    todo = [(points, u, v, depth)]
+def fit_open(points: np.ndarray, tolerance: float, u: np.ndarray | None = None, v: np.ndarray | None = None, slack: np.ndarray | None = None, depth: int = 33) -> list[np.ndarray]:
+    """Cubics (4 x 2) along an open chain within the tolerance times each point's slack; split at the worst place where one isn't enough."""
+    todo = [(points, u, v, np.ones(len(points)) if slack is None else slack, depth)]
     out = []
     while todo:
-        points, u, v, depth = todo.pop()
+        points, u, v, slack, depth = todo.pop()
         u = _unit(points[1] - points[0]) if u is None else u
         v = _unit(points[-2] - points[-1]) if v is None else v
-        if len(points) == 2:
-            third = np.linalg.norm(points[1] - points[0]) / 3
+        if len(points) == 2:  # nothing inside can be checked, so handles off the chord are cut to what keeps the bow within the tolerance
+            chord = points[1] - points[0]
+            along = _unit(chord)
+            bow = max(abs(u[0] * along[1] - u[1] * along[0]), abs(v[0] * along[1] - v[1] * along[0]))
+            third, allowed = np.linalg.norm(chord) / 3, tolerance * slack.min()
+            if 0.75 * third * bow > allowed:
+                third = allowed / (0.75 * bow)
             out.append(np.array([points[0], points[0] + u * third, points[1] + v * third, points[1]]))
             continue
         sums = np.concatenate([[0], np.cumsum(np.linalg.norm(np.diff(points, axis=0), axis=1))])
-        t = sums / sums[-1] if sums[-1] > 0 else np.linspace(0, 1, len(points))
-        for k in range(5):
+        t = sums / max(sums[-1], 1e-12)
+        p = _solve(points, t, u, v)
+        error, worst = _worst(points, p, t, slack)
+        for _ in range(4 if tolerance**2 < error <= 16 * tolerance**2 else 0):  # a close miss may lie in the parameters
+            t = _nearer(p, points, t)
             p = _solve(points, t, u, v)
-            wrong = ((bezier(p, t) - points) ** 2).sum(1)
-            worst = int(np.argmax(wrong[1:-1])) + 1
-            if wrong[worst] <= tolerance**2 or depth <= 0:
-                out.append(p)
+            error, worst = _worst(points, p, t, slack)
+            if error <= tolerance**2:
                 break
-            if k == 4 or wrong[worst] > 16 * tolerance**2:
-                middle = _unit(points[worst - 1] - points[worst + 1])
-                todo += [(points[worst:], -middle, v, depth - 1), (points[: worst + 1], u, middle, depth - 1)]
-                break
-            t = _nearer(p, points, t)
+        if error <= tolerance**2 or depth <= 0:
+            out.append(p)
+            continue
+        middle = _unit(points[worst - 1] - points[worst + 1])
+        todo += [(points[worst:], -middle, v, slack[worst:], depth - 1), (points[: worst + 1], u, middle, slack[: worst + 1], depth - 1)]
     return out
 
 
-def fit_closed(points: np.ndarray, fixed: np.ndarray, tolerance: float) -> list[np.ndarray]:
+def fit_closed(points: np.ndarray, fixed: np.ndarray, tolerance: float, slack: np.ndarray | None = None) -> list[np.ndarray]:
     """Cubics around a ring, cut at its fixed points; without any at two opposite points with common tangents, with one also at the opposite."""
     n = len(points)
-    cuts = sorted(int(k) for k in fixed) or [0, n // 2]
-    smooth_cuts = not len(fixed)
+    slack = np.ones(n) if slack is None else slack
+    cuts = sorted({int(k) for k in fixed}) or [0, n // 2]
     if len(cuts) == 1:
         cuts = sorted({cuts[0], (cuts[0] + n // 2) % n})
     tangent = {k: _unit(points[(k + 1) % n] - points[(k - 1) % n]) for k in cuts}
     out = []
     for a, b in zip(cuts, cuts[1:] + cuts[:1], strict=True):
-        span = points[[(a + k) % n for k in range((b - a) % n + 1 or n + 1)]]
-        free = lambda k: smooth_cuts or k not in set(map(int, fixed))
-        out += fit_open(span, tolerance, tangent[a] if free(a) else None, -tangent[b] if free(b) else None)
+        span = [(a + k) % n for k in range((b - a) % n + 1 if a != b else n + 1)]
+        ends = (None, None) if len(fixed) else (tangent[a], -tangent[b])
+        out += fit_open(points[span], tolerance, *ends, slack[span])
     return out
 
 
@@ -283,7 +299,7 @@ def simplify(cubics: list[np.ndarray], tolerance: float, threshold: float) -> li
             u, v = _unit(a[3] - a[2]), _unit(b[1] - b[0])
             if np.arccos(np.clip(u @ v, -1, 1)) < threshold:
                 dense = np.vstack([bezier(a, np.linspace(0, 1, 9)), bezier(b, np.linspace(0, 1, 9))[1:]])
-                one = fit_open(dense, tolerance, _unit(a[1] - a[0]), _unit(b[2] - b[3]), 0)[0]
+                one = fit_open(dense, tolerance, _unit(a[1] - a[0]), _unit(b[2] - b[3]), depth=0)[0]
                 sums = np.concatenate([[0], np.cumsum(np.linalg.norm(np.diff(dense, axis=0), axis=1))])
                 curve = bezier(one, np.linspace(0, 1, 65))
                 if sums[-1] > 0 and max(np.min(np.linalg.norm(curve - q, axis=1)) for q in dense) <= tolerance:
@@ -314,11 +330,9 @@ def fit_rings(points: DataFrame, by: list[str], tolerance: float = 0.5, threshol
     return points.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), "seg int", *(f"{c} double" for c in names)]))
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, cell: float, most: float, by: list[str] = ()) -> DataFrame:
-    """For each point (id, own, x, y) the least distance to a segment (path, ax, ay, bx, by) of another path, within ``most``; NULL if none.
-
-    Segments are entered in every grid cell their widened box meets, so a point only meets its own cell's.
-    """
+def _met(points: DataFrame, segments: DataFrame, most: float, by: list[str]) -> DataFrame:
+    """by, id and the distance of each segment of another path that is within ``most`` of the point. Segments are entered in every grid cell that their widened box meets, so a point only meets its own cell's."""
+    cell = 2 * most
     seg = segments.withColumn("sx", F.explode(F.sequence(F.floor((F.least("ax", "bx") - most) / cell), F.floor((F.greatest("ax", "bx") + most) / cell))))
     seg = seg.withColumn("sy", F.explode(F.sequence(F.floor((F.least("ay", "by") - most) / cell), F.floor((F.greatest("ay", "by") + most) / cell))))
     p = points.withColumn("sx", F.floor(F.col("x") / cell)).withColumn("sy", F.floor(F.col("y") / cell))
@@ -326,5 +340,38 @@ def nearest_segment(points: DataFrame, segments: DataFrame, cell: float, most: f
     size = d[0] * d[0] + d[1] * d[1]
     t = F.when(size > 0, F.least(F.greatest(((F.col("x") - F.col("ax")) * d[0] + (F.col("y") - F.col("ay")) * d[1]) / size, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
     off = F.sqrt(F.pow(F.col("x") - F.col("ax") - t * d[0], 2) + F.pow(F.col("y") - F.col("ay") - t * d[1], 2))
-    near = p.join(seg, ["sx", "sy"]).where(F.col("own") != F.col("path")).withColumn("distance", off).where(F.col("distance") <= most)
-    return points.select("id").join(near.groupBy("id").agg(F.min("distance").alias("distance")), "id", "left")
+    met = p.join(seg, [*by, "sx", "sy"]).where(F.col("own") != F.col("path"))
+    if "own_key" in points.columns and "path_key" in segments.columns:  # the same curve, met from both sides
+        met = met.where(~F.coalesce(F.col("own_key") == F.col("path_key"), F.lit(False)))
+    return met.withColumn("distance", off).select(*by, "id", "distance")
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, first: float, most: float | None = None, by: list[str] = ()) -> DataFrame:
+    """For each point (by, id, own, x, y) the least distance to a segment (by, path, ax, ay, bx, by) of another path, NULL without any.
+
+    ``own_key`` and ``path_key``, if there, exclude segments of equal key as well. The search starts within ``first`` and
+    doubles that for the points that met nothing, until all of them have or the distance spans everything; ``most`` ends it before.
+    """
+    by = list(by)
+    ends = [*segments.agg(*(f(c) for c in ("ax", "bx", "ay", "by") for f in (F.min, F.max))).first(), *points.agg(*(f(c) for c in ("x", "y") for f in (F.min, F.max))).first()]
+    span = max((abs(v) for v in ends if v is not None), default=0.0) * 4 + 1
+    left, reach, parts = points, first, []
+    while True:
+        reach = reach if most is None else min(reach, most)
+        found = cut(_met(left, segments, reach, by).where(F.col("distance") <= reach).groupBy(*by, "id").agg(F.min("distance").alias("distance")))
+        parts.append(found)
+        left = cut(left.join(found.select(*by, "id"), [*by, "id"], "left_anti"))
+        if reach >= span or most is not None and reach >= most or not left.limit(1).count():
+            break
+        reach *= 2
+    out = left.select(*by, "id", F.lit(None).cast("double").alias("distance"))
+    for found in parts:
+        out = out.unionByName(found)
+    return out
+
+
+def within(points: DataFrame, segments: DataFrame, distance: float, by: list[str] = ()) -> DataFrame:
+    """The points (by, id, own, x, y) that are nearer than the distance to a segment of another path."""
+    by = list(by)
+    near = _met(points, segments, distance, by).where(F.col("distance") < distance).select(*by, "id").distinct()
+    return points.join(near, [*by, "id"], "left_semi")

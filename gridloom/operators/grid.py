@@ -1,7 +1,7 @@
 """Rasters as tables of cells (x, y, color ...): neighbours, runs, borders, boxes, regions, depth, holes.
 
-Every operator takes ``by``, the columns that name an image; cells of different images never meet. A missing cell is
-transparent. Neighbour joins shuffle on (by, y, x) and never on colour, so one common colour doesn't skew them.
+Every operator on cells takes ``by``, the columns that name an image; cells of different images never meet. A missing cell
+is transparent. Neighbour joins shuffle on (by, y, x) and never on colour, so one common colour doesn't skew them.
 """
 
 from __future__ import annotations
@@ -96,12 +96,12 @@ def run_links(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return up.join(down, [*by, "y", "color"]).where("ax0 <= bx1 and ax1 >= bx0").select("a", "b")
 
 
-def regions(cells: DataFrame, width: int) -> DataFrame:
-    """4-connected regions of equal colour: region (its first cell's y * width + x), color, area and box.
+def regions(cells: DataFrame, width: int, by: Sequence[str] = ()) -> DataFrame:
+    """4-connected regions of equal colour: by, region (its first cell's y * width + x), color, area and box.
 
     Cells become runs first, so the component rounds see runs only.
     """
-    return region_table(region_runs(cells, width))
+    return region_table(region_runs(cells, width, by), by)
 
 
 def region_runs(cells: DataFrame, width: int, by: Sequence[str] = ()) -> DataFrame:
@@ -113,8 +113,8 @@ def region_runs(cells: DataFrame, width: int, by: Sequence[str] = ()) -> DataFra
     return runs.join(roots, runs["id"] == roots["node"], "left").select(*by, "y", "x0", "x1", "color", (root["at"] if by else root).alias("region"))
 
 
-def region_table(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("region").agg(
+def region_table(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return runs.groupBy(*by, "region").agg(
         F.min("color").alias("color"),
         F.sum(F.col("x1") - F.col("x0") + 1).alias("area"),
         F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"),
@@ -125,23 +125,24 @@ def region_cells(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return runs.select(*by, F.explode(F.sequence("x0", "x1")).alias("x"), "y", "color", "region")
 
 
-def rim_residue(cells: DataFrame, label: str, ink: Column, thin: float = 2.0, most: int = 100, share: float = 0.25, least_contact: float = 0.6) -> DataFrame:
-    """Thin chips on the rim that mostly touch ink: label and the ink neighbour each joins.
+def rim_residue(cells: DataFrame, label: str, ink: Column, thin: float = 2.0, most: int = 100, share: float = 0.25, least_contact: float = 0.6, by: Sequence[str] = ()) -> DataFrame:
+    """Thin chips on the rim that mostly touch ink: by, label and the ink neighbour each joins.
 
-    A chip faces nothing somewhere, has at most ``most`` cells and ``share`` of all, mean thickness up to ``thin``, is no ink itself.
+    A chip faces nothing somewhere, has at most ``most`` cells and ``share`` of its image's, mean thickness up to ``thin``, is no ink itself.
     """
-    sizes = perimeters(cells, label)
-    whole = cells.agg(F.count("*").alias("whole"))
-    kind = cells.groupBy(label).agg(F.bool_or(ink).alias("own_ink"))
-    found = sizes.join(kind, label).join(contacts(cells, label, ink), label).join(F.broadcast(whole), F.lit(True))
+    names = [*by, label]
+    kind = cells.groupBy(*names).agg(F.bool_or(ink).alias("own_ink"))
+    whole = cells.groupBy(*by).agg(F.count("*").alias("whole"))
+    found = perimeters(cells, label, by).join(kind, names).join(contacts(cells, label, ink, by), names)
+    found = found.join(whole, list(by)) if by else found.join(F.broadcast(whole), F.lit(True))  # one row without images
     thickness = F.col("area") / (0.5 * F.greatest("perimeter", F.lit(1)))
     keep = F.col("on_rim") & ~F.col("own_ink") & (F.col("area") <= most) & (F.col("area") <= share * F.col("whole")) & (thickness <= thin)
-    return found.where(keep & F.col("ink_neighbor").isNotNull() & (F.col("ink_contact") >= least_contact * F.col("contact"))).select(label, "ink_neighbor")
+    return found.where(keep & F.col("ink_neighbor").isNotNull() & (F.col("ink_contact") >= least_contact * F.col("contact"))).select(*names, "ink_neighbor")
 
 
-def soft_cells(cells: DataFrame, label: str, distance: Column) -> DataFrame:
+def soft_cells(cells: DataFrame, label: str, distance: Column, by: Sequence[str] = ()) -> DataFrame:
     """cells (x, y, v: a struct with the label): those beside another label for which a condition on v and other holds, so where a border has slack."""
-    return beside(cells, "v").where(F.col("other").isNotNull() & (F.col(f"other.{label}") != F.col(f"v.{label}")) & distance).select("x", "y", F.col(f"v.{label}").alias(label)).distinct()
+    return beside(cells, "v", by).where(F.col("other").isNotNull() & (F.col(f"other.{label}") != F.col(f"v.{label}")) & distance).select(*by, "x", "y", F.col(f"v.{label}").alias(label)).distinct()
 
 
 def grown(cells: DataFrame, steps: int, by: Sequence[str] = ()) -> DataFrame:
@@ -152,18 +153,26 @@ def grown(cells: DataFrame, steps: int, by: Sequence[str] = ()) -> DataFrame:
     return out
 
 
-def split_layer(cells: DataFrame, width: int, gap: int = 0) -> DataFrame:
-    """x, y and part of one layer's cells: parts are 4-connected once gaps of up to 2 x gap cells are closed."""
-    joined = grown(cells, gap) if gap else cells.select("x", "y")
-    runs = region_runs(joined.select((F.col("x") + gap).alias("x"), (F.col("y") + gap).alias("y"), F.lit(0).alias("color")), width + 2 * gap)
-    parts = region_cells(runs).select((F.col("x") - gap).alias("x"), (F.col("y") - gap).alias("y"), F.col("region").alias("part"))
-    return cells.select("x", "y").join(parts, ["x", "y"])
+def split_layer(cells: DataFrame, width: int, gap: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """by, x, y and part of each layer's cells: parts are 4-connected once gaps of up to 2 x gap cells are closed."""
+    joined = grown(cells, gap, by) if gap else cells.select(*by, "x", "y")
+    runs = region_runs(joined.select(*by, (F.col("x") + gap).alias("x"), (F.col("y") + gap).alias("y"), F.lit(0).alias("color")), width + 2 * gap, by)
+    parts = region_cells(runs, by).select(*by, (F.col("x") - gap).alias("x"), (F.col("y") - gap).alias("y"), F.col("region").alias("part"))
+    return cells.select(*by, "x", "y").join(parts, [*by, "x", "y"])
 
 
-def lowest_around(cells: DataFrame, value: str, steps: int = 1) -> DataFrame:
+def part_names(parts: DataFrame, layer: str, by: Sequence[str] = (), confirm: int = 20) -> DataFrame:
+    """by, part, name ("layer - N" in order of the parts' first cells), and whether there are so many parts of the layer that one would ask first."""
+    each = parts.groupBy(*by, "part").agg(F.count("*").alias("area"))
+    names = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    number = F.row_number().over(names.orderBy("part"))
+    return each.select(*by, "part", "area", F.concat(F.lit(f"{layer} - "), number.cast("string")).alias("name"), (F.count("*").over(names) > confirm).alias("many"))
+
+
+def lowest_around(cells: DataFrame, value: str, steps: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """A minimum filter: the least value in the square neighbourhood."""
     sides = [(dx, dy) for dx in range(-steps, steps + 1) for dy in range(-steps, steps + 1)]
-    return beside(cells.select("x", "y", value), value, sides=sides).groupBy("x", "y").agg(F.min("other").alias(value))
+    return beside(cells.select(*by, "x", "y", value), value, by, sides=sides).groupBy(*by, "x", "y").agg(F.min("other").alias(value))
 
 
 def upsampled(cells: DataFrame, scale: int, threshold: int, by: Sequence[str] = ()) -> DataFrame:
@@ -184,61 +193,74 @@ def upsampled(cells: DataFrame, scale: int, threshold: int, by: Sequence[str] =
     return out.select(*by, "x", "y", *(F.floor(F.col(f"s{c}") / F.col("sa") + 0.5).cast("int").alias(c) for c in "rgb"), F.lit(255).alias("a"))
 
 
-def depth(cells: DataFrame, label: str = "color", most: int = 10_000) -> DataFrame:
-    """Steps to leave a cell's own label: 1 beside another label or nothing. Each round only carries its frontier."""
-    cells = cells.select("x", "y", F.col(label).alias("label"))
-    edge = beside(cells, "label").where(F.col("other").isNull() | (F.col("other") != F.col("label"))).select("x", "y", "label").distinct()
-    found = cut(edge.withColumn("depth", F.lit(1)))
-    front, level = found, 1
-    while level < most:
-        near = front.select("label", F.explode(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in SIDES])).alias("p")).select("label", "p.x", "p.y").distinct()
-        fresh = near.join(cells, ["x", "y", "label"], "left_semi").join(found, ["x", "y"], "left_anti")
-        level += 1
-        front = cut(fresh.select("x", "y", "label", F.lit(level).alias("depth")))
-        if not front.limit(1).count():
-            return found
-        found = cut(found.unionByName(front))
-    return found
+def depth(cells: DataFrame, label: str = "color", by: Sequence[str] = ()) -> DataFrame:
+    """Steps to leave a cell's own label: 1 beside another label or nothing. Rounds go on until the frontier is empty, and carry only it.
+
+    What a frontier reaches lies in it, in the one before, or is new, so a round looks at these two and rewrites nothing.
+    """
+    at = [*by, "x", "y"]
+    cells = cells.select(*at, F.col(label).alias("label"))
+    front = cut(beside(cells, "label", by).where(F.col("other").isNull() | (F.col("other") != F.col("label"))).select(*at, "label").distinct())
+    levels, before = [front], None
+    while True:
+        steps = F.explode(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in SIDES]))
+        near = front.select(*by, "label", steps.alias("p")).select(*by, "p.x", "p.y", "label").distinct()
+        fresh = near.join(cells, [*at, "label"], "left_semi").join(front, at, "left_anti")
+        fresh = cut((fresh.join(before, at, "left_anti") if before is not None else fresh).select(*at, "label"))
+        if not fresh.limit(1).count():
+            break
+        before, front = front, fresh
+        levels.append(fresh)
+    out = levels[0].withColumn("depth", F.lit(1))
+    for k, level in enumerate(levels[1:], 2):
+        out = out.unionByName(level.withColumn("depth", F.lit(k)))
+    return out
 
 
-def holes(mask: DataFrame) -> DataFrame:
-    """The 4-connected holes of a mask (x, y): cells outside of it that can't reach its box's surrounding ring.
+def holes(mask: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The 4-connected holes of a mask (by, x, y): cells outside of it that can't reach its box's surrounding ring.
 
-    hole (its first cell as y * width + x in the ringed box), x, y for each cell.
+    by, hole (its first cell as y * width + x in the ringed box), x, y for each cell. The empty cells of a row are found as
+    the runs between its cells, so nothing is as large as the box.
     """
-    box = mask.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    field = box.select(F.explode(F.sequence(F.col("y0") - 1, F.col("y1") + 1)).alias("y"), "x0", "x1", "y0").select("y", "y0", "x0", "x1", F.explode(F.sequence(F.col("x0") - 1, F.col("x1") + 1)).alias("x"))
-    empty = cut(field.join(mask.select("x", "y"), ["x", "y"], "left_anti").withColumn("color", F.lit(0)))
-    at = ((F.col("y") - F.col("y0") + 1).cast("long") * (F.col("x1") - F.col("x0") + 3) + F.col("x") - F.col("x0") + 1)
-    runs = row_runs(empty.select("x", "y", "color"))
-    edge = empty.select("x0", "x1", "y0").limit(1).withColumnsRenamed({"x0": "bx0", "x1": "bx1", "y0": "by0"})
-    runs = cut(runs.join(F.broadcast(edge), F.lit(True)).withColumn("id", (F.col("y") - F.col("by0") + 1).cast("long") * (F.col("bx1") - F.col("bx0") + 3) + F.col("x0") - F.col("bx0") + 1))
-    roots = components(run_links(runs))
-    named = runs.join(roots, runs["id"] == roots["node"], "left").select("y", "x0", "x1", F.coalesce("root", "id").alias("hole"))
-    return named.where(F.col("hole") != 0).select("hole", F.explode(F.sequence("x0", "x1")).alias("x"), "y")
-
-
-def fill_holes(mask: DataFrame, least: int, keep_open: DataFrame | None = None, opaque: DataFrame | None = None) -> DataFrame:
+    mask = mask.select(*by, "x", "y")
+    box = mask.groupBy(*by).agg(F.min("x").alias("bx0"), F.max("x").alias("bx1"), F.min("y").alias("by0"), F.max("y").alias("by1"))
+    rows = box.select(*by, F.explode(F.sequence(F.col("by0") - 1, F.col("by1") + 1)).alias("y"), "bx0", "bx1", "by0")
+    ends = rows.select(*by, "y", F.explode(F.array(F.col("bx0") - 2, F.col("bx1") + 2)).alias("x"), "bx0", "bx1", "by0")  # as if painted just outside of the ring
+    inner = mask.join(box.select(*by, "bx0", "bx1", "by0"), list(by)) if by else mask.join(F.broadcast(box.select("bx0", "bx1", "by0")), F.lit(True))
+    painted = inner.select(*by, "y", "x", "bx0", "bx1", "by0").unionByName(ends)
+    after = F.lead("x").over(Window.partitionBy(*by, "y").orderBy("x"))
+    gaps = painted.withColumn("next", after).where("next - x > 1").withColumn("x0", F.col("x") + 1).withColumn("x1", F.col("next") - 1)
+    number = (F.col("y") - F.col("by0") + 1).cast("long") * (F.col("bx1") - F.col("bx0") + 3) + F.col("x0") - F.col("bx0") + 1
+    runs = cut(gaps.select(*by, "y", "x0", "x1", F.lit(0).alias("color"), (F.struct(*by, number.alias("at")) if by else number).alias("id")))
+    roots = components(run_links(runs, by))
+    root = F.coalesce("root", "id")
+    named = runs.join(roots, runs["id"] == roots["node"], "left").select(*by, "y", "x0", "x1", (root["at"] if by else root).alias("hole"))
+    return named.where(F.col("hole") != 0).select(*by, "hole", F.explode(F.sequence("x0", "x1")).alias("x"), "y")
+
+
+def fill_holes(mask: DataFrame, least: int, keep_open: DataFrame | None = None, opaque: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """The mask and its holes, but for holes with a cell of keep_open, and for those of ``least`` cells or more that touch a cell missing from opaque."""
-    cells = cut(holes(mask))
-    judged = cells.groupBy("hole").agg(F.count("*").alias("size"))
+    at, name = [*by, "x", "y"], [*by, "hole"]
+    cells = cut(holes(mask, by))
+    judged = cells.groupBy(*name).agg(F.count("*").alias("size"))
     if opaque is not None:
-        clear = cells.join(opaque.select("x", "y"), ["x", "y"], "left_anti").select("hole").distinct().withColumn("clear", F.lit(True))
-        judged = judged.join(clear, "hole", "left").where(F.col("clear").isNull() | (F.col("size") < least))
+        clear = cells.join(opaque.select(*at), at, "left_anti").select(*name).distinct().withColumn("clear", F.lit(True))
+        judged = judged.join(clear, name, "left").where(F.col("clear").isNull() | (F.col("size") < least))
     if keep_open is not None:
-        judged = judged.join(cells.join(keep_open.select("x", "y"), ["x", "y"], "left_semi").select("hole").distinct(), "hole", "left_anti")
-    return mask.select("x", "y").unionByName(cells.join(judged, "hole", "left_semi").select("x", "y"))
+        judged = judged.join(cells.join(keep_open.select(*at), at, "left_semi").select(*name).distinct(), name, "left_anti")
+    return mask.select(*at).unionByName(cells.join(judged, name, "left_semi").select(*at))
 
 
-def contacts(cells: DataFrame, label: str, ink: Column) -> DataFrame:
+def contacts(cells: DataFrame, label: str, ink: Column, by: Sequence[str] = ()) -> DataFrame:
     """For each label: border to others, of that to ink labels, its longest ink neighbour (ties: lesser), and whether it faces nothing.
 
     ink: a condition on the cells, the same for all cells of a label.
     """
-    marked = cells.select("x", "y", F.struct(F.col(label).alias("id"), ink.alias("ink")).alias("v"))
-    sides = beside(marked, "v").where(F.col("other").isNull() | (F.col("other.id") != F.col("v.id")))
-    each = sides.groupBy(F.col("v.id").alias(label), F.col("other.id").alias("to"), F.col("other.ink").alias("to_ink")).agg(F.count("*").alias("n"))
-    return each.groupBy(label).agg(
+    marked = cells.select(*by, "x", "y", F.struct(F.col(label).alias("id"), ink.alias("ink")).alias("v"))
+    sides = beside(marked, "v", by).where(F.col("other").isNull() | (F.col("other.id") != F.col("v.id")))
+    each = sides.groupBy(*by, F.col("v.id").alias(label), F.col("other.id").alias("to"), F.col("other.ink").alias("to_ink")).agg(F.count("*").alias("n"))
+    return each.groupBy(*by, label).agg(
         F.coalesce(F.sum(F.when(F.col("to").isNotNull(), F.col("n"))), F.lit(0)).alias("contact"),
         F.coalesce(F.sum(F.when(F.col("to_ink"), F.col("n"))), F.lit(0)).alias("ink_contact"),
         F.max_by("to", F.when(F.col("to_ink"), F.struct("n", (-F.col("to")).alias("k")))).alias("ink_neighbor"),
@@ -246,6 +268,14 @@ def contacts(cells: DataFrame, label: str, ink: Column) -> DataFrame:
     )
 
 
+def touched_corners(corners: DataFrame, mask: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The lattice corners (by, x, y) of which one of the four cells around is in the mask."""
+    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0) for dy in (-1, 0)]))
+    asked = corners.withColumn("_d", around).select(*corners.columns, (F.col("x") + F.col("_d.dx")).alias("_x"), (F.col("y") + F.col("_d.dy")).alias("_y"))
+    there = mask.select(*by, F.col("x").alias("_x"), F.col("y").alias("_y"))
+    return asked.join(there, [*by, "_x", "_y"], "left_semi").select(*corners.columns).distinct()
+
+
 def covered(points: DataFrame, runs: DataFrame) -> DataFrame:
     """The region under each point (x, y), NULL for none."""
     p, r = points.alias("p"), runs.alias("r")

@@ -44,6 +44,16 @@ def relative_to_start(keys: DataFrame, by: Sequence[str], time: str, value: str)
     return keys.withColumn(value, F.col(value) - first)
 
 
+def copied(sources: DataFrame, targets: DataFrame, by: Sequence[str], series: str, time: str) -> DataFrame:
+    """Keys with all their columns (value, easing, interpolation) for each target (by, series, source): those of its source series, but for times at which the target has a key already.
+
+    sources: keys (by, series, time, ...); what has an expression is sampled first (sample_needed).
+    """
+    asked = targets.select(*by, F.col("source").alias(series), F.col(series).alias("_to"))
+    given = sources.join(asked, [*by, series]).withColumn(series, F.col("_to")).select(*sources.columns)
+    return missing_keys(given, sources, [*by, series], time)
+
+
 def sample_needed(values: DataFrame, by: Sequence[str], step: float, threshold: float) -> DataFrame:
     """Adaptive sampling of series (by, t, v): both ends, and by halves a middle key wherever the straight line strays by more than the threshold.
 

@@ -86,3 +86,21 @@ def topmost(hits: DataFrame, by: str, z: str, layer: str) -> DataFrame:
 
 def renamed(name: Column) -> Column:
     return S.without_first(S.without_suffix(name, " Image"), " Outlines")
+
+
+def pruned(layers: DataFrame, keep: Column) -> DataFrame:
+    """layers (name, parent): leaves that aren't kept go, again and again until none is left: what stays is kept or above a kept one."""
+    return with_ancestors(layers, layers.where(keep).select("name"))
+
+
+def mattes(layers: DataFrame, comps: dict[str, float]) -> DataFrame:
+    """One row for each layer and comp (name: matte scale in per cent), its matte the layer's own fill, inverted."""
+    copies = F.array(*[F.struct(F.lit(c).alias("comp"), F.lit(float(k)).alias("scale")) for c, k in comps.items()])
+    return layers.withColumn("c", F.explode(copies)).select("c.comp", *layers.columns, F.concat("name", F.lit(" Fill")).alias("matte"), F.lit(True).alias("inverted"), "c.scale")
+
+
+def outlines_only(layers: DataFrame) -> DataFrame:
+    """After shapes were made from layers: a layer that has an outline layer goes, and the outline takes its name and its parent's outline."""
+    outline = layers.where(F.endswith("name", F.lit(" Outlines"))).select(F.expr("left(name, length(name) - 9)").alias("name"))
+    rest = layers.join(outline, "name", "left_anti")
+    return outline_parents(rest).withColumn("name", S.without_first(F.col("name"), " Outlines"))

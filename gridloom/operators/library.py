@@ -89,3 +89,60 @@ def selected_entries(manifest: DataFrame, layers: DataFrame) -> tuple[DataFrame,
     whole = manifest.where("layer is null").select("source").distinct()
     named = layers.join(asked, ["source", "layer"], "left_semi")
     return named.unionByName(layers.join(whole, "source", "left_semi")).distinct(), asked.join(layers.select("source", "layer"), ["source", "layer"], "left_anti")
+
+
+def zipped(a: DataFrame, b: DataFrame, by: Sequence[str], place: str) -> DataFrame:
+    """Rows of equal place; what one side has more is left out."""
+    return a.join(b, [*by, place])
+
+
+def bottom_first(layers: DataFrame, by: Sequence[str], place: str) -> DataFrame:
+    """z, the layer's height in paint order: places count from the top."""
+    return layers.withColumn("z", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(place))) - 1)
+
+
+def sub_path_anchors(paths: DataFrame) -> DataFrame:
+    """paths (path, subs: an array of arrays of points): the first anchor of each sub-path, in order; empty ones have none."""
+    each = paths.select("path", F.posexplode("subs").alias("sub", "points"))
+    return each.where(F.size("points") > 0).select("path", "sub", F.get("points", F.lit(0)).alias("anchor"))
+
+
+def expression_owners(properties: DataFrame, by: Sequence[str]) -> DataFrame:
+    """properties (by, node, parent, expression, enabled): the groups and properties with an enabled expression in or under them.
+
+    Trees are closed by doubling, so deep ones take few rounds.
+    """
+    from gridloom.operators.components import ancestors
+
+    key = lambda c: F.struct(*by, F.col(c).alias("node"))
+    own = properties.where(F.col("enabled") & (F.length("expression") > 0)).select(key("node").alias("node"))
+    up = ancestors(properties.select(key("node").alias("child"), F.when(F.col("parent").isNotNull(), key("parent")).alias("parent")))
+    above = up.join(own, "node", "left_semi").select(F.col("ancestor").alias("node"))
+    return own.union(above).distinct().select("node.*")
+
+
+def covering(shapes: DataFrame, survivors: DataFrame, at: Sequence[str], label: str) -> DataFrame:
+    """The shapes (label) with a cell (at) of a survivor of another label."""
+    other = survivors.select(*at, F.col(label).alias("_other"))
+    return shapes.join(other, list(at)).where(F.col(label) != F.col("_other")).select(label).distinct()
+
+
+def representatives(members: DataFrame, by: Sequence[str], keep: str, area: str, key: str) -> DataFrame:
+    """For each group the member that stands for it (kept ones first, then area, then the highest key), and all their area."""
+    return members.groupBy(*by).agg(F.max_by(key, F.struct(keep, area, key)).alias("chief"), F.sum(area).alias("total"))
+
+
+def merged_boxes(members: DataFrame, by: Sequence[str], color: str, area: str, key: str) -> DataFrame:
+    """For each group the union box, the area, and the colour of the largest member (ties: least key)."""
+    box = (f(c).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max)))
+    return members.groupBy(*by).agg(*box, F.sum(area).alias(area), F.max_by(color, F.struct(area, (-F.col(key)).alias("k"))).alias(color))
+
+
+def exported(layers: DataFrame) -> DataFrame:
+    """Layers that go into a document: the enabled ones, hidden or not."""
+    return layers.where("enabled")
+
+
+def composited(layers: DataFrame) -> DataFrame:
+    """Layers that are seen in the composite."""
+    return layers.where("enabled and visible")

@@ -202,36 +202,58 @@ def shades(g: Graph, split: float, noise: float) -> None:
 
 
 def residue(g: Graph, thin: float = 2.0, deviation: float = 0.01, margin: float = 0.075, least_diagonal: float = 6.0, near_color: float = 0.02, sliver: int = 15) -> None:
-    """Fold what isn't drawn on purpose into a neighbour: blend ribbons between two of the three dominant neighbours, slivers that hug a larger one's colour, specks, near-equal colours. Ink stays apart but joins ink."""
+    """Fold what isn't drawn on purpose into a larger neighbour.
+
+    Folded are: thin blends between two of the three dominant neighbours, thin slivers that lie on such a line close to one
+    end (into that end), specks, and what has nearly its parent's colour; the parent is the larger neighbour nearest in
+    colour. Dark features beside dark ones join each other and don't fold otherwise. Of what comes together the largest that
+    need not fold stands for all.
+    """
     n = len(g.ids)
-    ink = [max(c) <= 30 and max(c) - min(c) <= 8 for c in g.rgb]
-    links = []
-    for i in range(n):
-        near = g.neighbors(i)
-        links += [(i, j) for j, _ in near if ink[i] and ink[j] and i < j]
-        larger = [j for j, _ in near if g.area[j] > g.area[i] or g.area[j] == g.area[i] and j < i]
-        if not larger or ink[i]:
-            continue
+    near = [g.neighbors(i) for i in range(n)]
+    dark = [max(c) <= 30 and max(c) - min(c) <= 8 for c in g.rgb]
+    inky = [dark[i] and any(dark[j] for j, _ in near[i]) for i in range(n)]
+
+    def folds_into(i: int) -> int | None:
+        larger = [j for j, _ in near[i] if (g.area[j], -j) > (g.area[i], -i)]
+        if not larger:
+            return None
         parent = min(larger, key=lambda j: (g.gap(i, j), j))
+        blend, hugged = False, None
+        tops = [j for j, _ in near[i][:3]]
+        for k, a in enumerate(tops):
+            for b in tops[k + 1 :]:
+                line = g.lab[b] - g.lab[a]
+                t = np.clip((g.lab[i] - g.lab[a]) @ line / max(line @ line, 1e-12), 0, 1)
+                if np.linalg.norm(g.lab[i] - g.lab[a] - t * line) >= deviation:
+                    continue
+                da, db = g.gap(i, a), g.gap(i, b)
+                end = a if da <= db else b
+                blend |= min(da, db) > margin
+                if hugged is None and min(da, db) <= margin and g.area[i] < sliver and g.area[end] > g.area[i]:
+                    hugged = end
         x0, y0, x1, y1 = g.box[i]
-        tops = [j for j, _ in near[:3]]
-        ribbon = False
-        if g.area[i] / (0.5 * max(g.perimeter[i], 1)) <= thin:
-            for k, a in enumerate(tops):
-                for b in tops[k + 1 :]:
-                    line = g.lab[b] - g.lab[a]
-                    t = np.clip((g.lab[i] - g.lab[a]) @ line / max(line @ line, 1e-12), 0, 1)
-                    if np.linalg.norm(g.lab[i] - g.lab[a] - t * line) < deviation:
-                        ends = min((g.gap(i, a), a), (g.gap(i, b), b))
-                        ribbon |= ends[0] > margin or g.area[i] < sliver and g.area[ends[1]] > g.area[i]
-        if ribbon or np.hypot(x1 - x0 + 1, y1 - y0 + 1) < least_diagonal or g.gap(i, parent) < near_color:
-            links.append((i, parent))
+        ribbon = g.area[i] / (0.5 * max(g.perimeter[i], 1)) <= thin and (blend or hugged is not None)
+        if ribbon and hugged is not None:
+            return hugged
+        return parent if ribbon or np.hypot(x1 - x0 + 1, y1 - y0 + 1) < least_diagonal or g.gap(i, parent) < near_color else None
+
+    target = [folds_into(i) for i in range(n)]
+    together = Roots(n)
+    links = [(i, t) for i, t in enumerate(target) if t is not None and not inky[i]]
+    links += [(i, j) for i in range(n) if inky[i] for j, _ in near[i] if dark[j]]
+    for i, j in links:
+        a, b = sorted((together.find(i), together.find(j)))
+        together.up[b] = a
+    members: dict[int, list[int]] = defaultdict(list)
+    for i in range(n):
+        members[together.find(i)].append(i)
     area = list(g.area)
-    for a, b in links:
-        s, t = g.roots.find(a), g.roots.find(b)
-        if s != t:
-            keep, go = (s, t) if (area[s], s) >= (area[t], t) else (t, s)
-            g.merge(go, keep, False)
+    for group in members.values():
+        chief = max(group, key=lambda i: (target[i] is None, area[i], i))
+        for i in group:
+            if i != chief:
+                g.merge(i, chief, False)
 
 
 KERNELS = {"speckles": speckles, "strokes": strokes, "bands": bands, "shades": shades, "residue": residue}
@@ -254,18 +276,22 @@ def merged(nodes: DataFrame, edges: DataFrame, kind: str, **settings) -> DataFra
 
 
 def region_graph(cells: DataFrame, width: int, pins: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of one image's regions; cells (x, y, r, g, b)."""
-    colored = cells.select("x", "y", F.struct("r", "g", "b").alias("color"))
-    runs = grid.region_runs(colored, width)
-    labelled = grid.region_cells(runs).select("x", "y", "region")
-    nodes = grid.region_table(runs).join(grid.perimeters(labelled, "region").select("region", "perimeter"), "region")
-    deep = grid.depth(labelled, "region").join(labelled, ["x", "y"]).groupBy("region").agg(F.max("depth").alias("depth"))
-    nodes = nodes.join(deep, "region")
+    """Nodes and edges of each image's regions; cells (image, x, y, r, g, b), without image all are one, 0."""
+    by = ["image"]
+    if "image" not in cells.columns:
+        cells = cells.withColumn("image", F.lit(0))
+        pins = pins if pins is None else pins.withColumn("image", F.lit(0))
+    runs = grid.region_runs(cells.select(*by, "x", "y", F.struct("r", "g", "b").alias("color")), width, by)
+    labelled = grid.region_cells(runs, by).select(*by, "x", "y", "region")
+    name = [*by, "region"]
+    nodes = grid.region_table(runs, by).join(grid.perimeters(labelled, "region", by).select(*name, "perimeter"), name)
+    deep = grid.depth(labelled, "region", by).join(labelled, [*by, "x", "y"]).groupBy(*name).agg(F.max("depth").alias("depth"))
+    nodes = nodes.join(deep, name)
     if pins is not None:
-        held = grid.covered(pins, runs).select("region").distinct().withColumn("pinned", F.lit(True))
-        nodes = nodes.join(held, "region", "left").withColumn("pinned", F.coalesce("pinned", F.lit(False)))
-    image = F.lit(0).alias("image")
-    return nodes.select(image, "region", "color.r", "color.g", "color.b", *[c for c in nodes.columns if c not in ("region", "color")]), grid.adjacency_counts(labelled, "region").select(image, "lo", "hi", "sides")
+        held = pins.select(*by, "x", "y").join(labelled, [*by, "x", "y"]).select(*name).distinct().withColumn("pinned", F.lit(True))
+        nodes = nodes.join(held, name, "left").withColumn("pinned", F.coalesce("pinned", F.lit(False)))
+    more = [c for c in nodes.columns if c not in (*name, "color")]
+    return nodes.select(*name, "color.r", "color.g", "color.b", *more), grid.adjacency_counts(labelled, "region", by).select(*by, "lo", "hi", "sides")
 
 
 def paint_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -315,9 +341,12 @@ def paint_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.groupBy("image").cogroup(edges.groupBy("of")).applyInPandas(run, f"image {kind_of}, region long, parent long, place long")
 
 
-def subtree_areas(tree: DataFrame, areas: DataFrame) -> DataFrame:
-    """region with the sum of the areas (region, area) of its subtree, through the tree's ancestor closure."""
+def subtree_areas(tree: DataFrame, areas: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, region) with the sum of the areas (by, region, area) of its subtree, through the tree's ancestor closure."""
     from gridloom.operators.components import ancestors
 
-    above = ancestors(tree.select(F.col("region").alias("child"), "parent")).select(F.col("node").alias("region"), "ancestor")
-    return areas.join(above.unionByName(areas.select("region", F.col("region").alias("ancestor"))), "region").groupBy(F.col("ancestor").alias("region")).agg(F.sum("area").alias("area"))
+    key = lambda c: F.struct(*by, F.col(c).alias("region"))
+    above = ancestors(tree.select(key("region").alias("child"), F.when(F.col("parent").isNotNull(), key("parent")).alias("parent")))
+    above = above.select("node", "ancestor").unionByName(areas.select(key("region").alias("node"), key("region").alias("ancestor")))
+    sums = areas.select(key("region").alias("node"), "area").join(above, "node").groupBy("ancestor").agg(F.sum("area").alias("area"))
+    return sums.select(*(F.col(f"ancestor.{c}").alias(c) for c in (*by, "region")), "area")

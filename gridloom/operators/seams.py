@@ -38,10 +38,12 @@ def direction_changes(points: DataFrame, ring: str, k: str = "k") -> DataFrame:
     return p.where(F.coalesce(~same, F.lit(True))).drop("_ix", "_iy", "_ox", "_oy")
 
 
-def densify(points: DataFrame, ring: str, k: str = "k") -> DataFrame:
-    """Lattice points at unit steps from each vertex to the next (axis-parallel edges)."""
+def densify(points: DataFrame, ring: str, k: str = "k", closed: bool = True) -> DataFrame:
+    """Lattice points at unit steps from each vertex to the next (axis-parallel edges), of a ring also from the last to the first."""
     w = Window.partitionBy(ring).orderBy(k)
-    p = points.withColumns({"_x": F.lead("x").over(w), "_y": F.lead("y").over(w)}).where("_x is not null")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(whole)) if closed else F.lead(c).over(w)
+    p = points.withColumns({"_x": after("x"), "_y": after("y")}).where("_x is not null")
     steps = F.greatest(F.abs(F.col("_x") - F.col("x")), F.abs(F.col("_y") - F.col("y"))).cast("int")
     p = p.withColumn("_s", F.explode(F.when(steps > 0, F.sequence(F.lit(0), steps - 1)).otherwise(F.array().cast("array<int>"))))
     return p.select(ring, k, F.col("_s").alias("step"), (F.col("x") + F.signum(F.col("_x") - F.col("x")) * F.col("_s")).alias("x"), (F.col("y") + F.signum(F.col("_y") - F.col("y")) * F.col("_s")).alias("y"))

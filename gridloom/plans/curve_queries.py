@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
-from gridloom.operators import curves, grid, merging, palette, seams
+from gridloom.operators import curves, grid, merging, palette, seams, stitching
 from gridloom.plans.tables import ORDERS_SQL, ORDERS_W, orders_grid, table
 from gridloom.sources import sinks
 from gridloom.streaming import gate
@@ -150,16 +150,31 @@ def bezier_samples(spark, d):
     return points.select("p_partkey", "i", F.round(F.col("p.x") + 1e-9, 6).alias("x"), F.round(F.col("p.y") + 1e-9, 6).alias("y"))
 
 
-@query("nearest_segment", """WITH p AS (SELECT c_custkey AS id, c_custkey % 5 AS own, (c_custkey % 97)::DOUBLE AS x, (c_custkey % 89)::DOUBLE AS y FROM customer),
-s AS (SELECT s_suppkey % 5 AS path, (s_suppkey % 83)::DOUBLE AS ax, (s_suppkey % 79)::DOUBLE AS ay, (s_suppkey % 83 + 3)::DOUBLE AS bx, (s_suppkey % 79 + 2)::DOUBLE AS by_ FROM supplier),
-t AS (SELECT p.*, s.*, least(greatest(((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) ** 2 + (by_ - ay) ** 2), 0), 1) AS t FROM p, s WHERE own <> path),
-d AS (SELECT id, sqrt((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (by_ - ay)) ** 2) AS e FROM t)
-SELECT p.id, round(min(e), 6) AS distance FROM p LEFT JOIN d ON d.id = p.id AND e <= 6 GROUP BY p.id""")
-def nearest_segment(spark, d):
+NEAR_POINTS = "SELECT c_custkey AS id, c_custkey % 5 AS own, (c_custkey * 37 % 211)::DOUBLE AS x, (c_custkey // 7)::DOUBLE AS y FROM customer"
+NEAR_SEGMENTS = """SELECT s_suppkey % 5 AS path, (s_suppkey * 53 % 211)::DOUBLE AS ax, (s_suppkey * 15 // 7)::DOUBLE AS ay,
+(s_suppkey * 53 % 211 + 3)::DOUBLE AS bx, (s_suppkey * 15 // 7 + 2)::DOUBLE AS by_ FROM supplier"""
+NEAR_GAPS = """t AS (SELECT p.*, s.*, least(greatest(((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) ** 2 + (by_ - ay) ** 2), 0), 1) AS t FROM p, s WHERE own <> path),
+d AS (SELECT id, sqrt((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (by_ - ay)) ** 2) AS e FROM t)"""
+
+
+def _near(spark, d):
+    """Points and segments over an area that grows with the tables."""
     k, s = F.col("c_custkey"), F.col("s_suppkey")
-    points = table(spark, d, "customer").select(k.alias("id"), (k % 5).alias("own"), (k % 97).cast("double").alias("x"), (k % 89).cast("double").alias("y"))
-    segments = table(spark, d, "supplier").select((s % 5).alias("path"), (s % 83).cast("double").alias("ax"), (s % 79).cast("double").alias("ay"), (s % 83 + 3).cast("double").alias("bx"), (s % 79 + 2).cast("double").alias("by"))
-    return curves.nearest_segment(points, segments, 8.0, 6.0).select("id", F.round("distance", 6).alias("distance"))
+    points = table(spark, d, "customer").select(k.alias("id"), (k % 5).alias("own"), (k * 37 % 211).cast("double").alias("x"), F.floor(k / 7).cast("double").alias("y"))
+    ax, ay = s * 53 % 211, F.floor(s * 15 / 7)
+    ends = [x.cast("double").alias(c) for c, x in (("ax", ax), ("ay", ay), ("bx", ax + 3), ("by", ay + 2))]
+    return points, table(spark, d, "supplier").select((s % 5).alias("path"), *ends)
+
+
+@query("nearest_segment", f"""WITH p AS ({NEAR_POINTS}), s AS ({NEAR_SEGMENTS}), {NEAR_GAPS}
+SELECT p.id, round(min(e), 6) AS distance FROM p LEFT JOIN d ON d.id = p.id GROUP BY p.id""")
+def nearest_segment(spark, d):
+    return curves.nearest_segment(*_near(spark, d), 8.0).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query("points_within", f"""WITH p AS ({NEAR_POINTS}), s AS ({NEAR_SEGMENTS}), {NEAR_GAPS} SELECT id FROM d GROUP BY id HAVING min(e) < 6""")
+def points_within(spark, d):
+    return curves.within(*_near(spark, d), 6.0).select("id")
 
 
 @query("ring_points")
@@ -168,6 +183,19 @@ def ring_points(spark, d):
     return curves.rings(grid.region_cells(grid.region_runs(cells, 50)).select("x", "y", "region"))
 
 
+@query("stitched_paths")
+def stitched_paths(spark, d):
+    """Regions of equal priority in images of 16 x 16 orders, each border between two fitted once."""
+    k = F.col("o_orderkey")
+    cells = table(spark, d, "orders").select(F.floor(k / 256).alias("image"), (k % 16).cast("int").alias("x"), F.floor(k % 256 / 16).cast("int").alias("y"), F.col("o_orderpriority").alias("color"))
+    found = grid.region_cells(grid.region_runs(cells, 16, ["image"]), ["image"])
+    label = F.concat_ws(":", "image", "region").alias("label")
+    rings = curves.rings(found.select("x", "y", label), "label")
+    image = F.element_at(F.split("label", ":"), 1).cast("long")
+    moved = rings.withColumn("x", F.col("x") + 100 * image)  # images lie apart, so that only neighbours share a border
+    return stitching.stitched(moved, ["label", "ring"])
+
+
 @query("bezier_fit")
 def bezier_fit(spark, d):
     return curves.fit_rings(ring_points(spark, d), ["region", "ring"])
@@ -214,10 +242,15 @@ def minimum_filter(spark, d):
     return grid.lowest_around(table(spark, d, "part").selectExpr("int(p_partkey % 50) as x", "int(floor(p_partkey / 50)) as y", "p_size"), "p_size")
 
 
-@query("rim_residue")
+@query("rim_residue", """WITH g AS (SELECT CAST(p_partkey % 50 AS INT) AS x, CAST(p_partkey // 50 AS INT) AS y, p_size AS label FROM part),
+s AS (SELECT a.label, b.label AS other FROM g a CROSS JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS t(dx, dy) LEFT JOIN g b ON b.x = a.x + dx AND b.y = a.y + dy),
+m AS (SELECT label, count(*) / 4 AS area, count(*) FILTER (WHERE other IS NULL OR other <> label) AS perimeter, count(*) FILTER (WHERE other <> label) AS contact,
+  count(*) FILTER (WHERE other <> label AND other < 38) AS ink, bool_or(other IS NULL) AS rim FROM s GROUP BY label),
+n AS (SELECT label, arg_max(other, n * 1000 - other) AS ink_neighbor FROM (SELECT label, other, count(*) AS n FROM s WHERE other <> label AND other < 38 GROUP BY ALL) GROUP BY label)
+SELECT label, ink_neighbor FROM m JOIN n USING (label) WHERE rim AND label >= 38 AND area <= 1000 AND area <= 0.25 * (SELECT count(*) FROM g) AND area / (0.5 * greatest(perimeter, 1)) <= 3.0 AND ink >= 0.6 * contact""")
 def rim_residue(spark, d):
-    cells = table(spark, d, "part").where("p_size > 8").selectExpr("int(p_partkey % 50) as x", "int(floor(p_partkey / 50)) as y", "p_size as label")
-    return grid.rim_residue(cells, "label", F.col("label") < 30, thin=3.0, most=1000)
+    cells = table(spark, d, "part").selectExpr("int(p_partkey % 50) as x", "int(floor(p_partkey / 50)) as y", "p_size as label")
+    return grid.rim_residue(cells, "label", F.col("label") < 38, thin=3.0, most=1000)
 
 
 @query("traced_images")
@@ -225,4 +258,4 @@ def traced_images(spark, d):
     from gridloom.plans import trace
 
     images = _images(spark, d).withColumn("a", F.lit(255))
-    return trace.counts(trace.trace(images, trace.Settings(width=64)))
+    return trace.counts(trace.trace(images))

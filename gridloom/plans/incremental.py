@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from gridloom.operators import changes
 
@@ -16,13 +15,14 @@ def through_cache(rows: DataFrame, keys: Sequence[str], content: Sequence[str],
 
     compute gives rows with the keys. Equal content of another time is a hit; old results stay in the table.
     """
-    stamped = rows.groupBy(*keys).agg(F.bit_xor(F.xxhash64(*content)).alias("_content"), F.count("*").alias("_n"))
+    stamp = {"n": "_n", "content": "_content", "content2": "_content2"}
+    stamped = changes.fingerprint(rows, keys, content).withColumnsRenamed(stamp)
     spark = rows.sparkSession
-    at = [*keys, "_content", "_n"]
+    at = [*keys, *stamp.values()]
     try:
         missing = changes.misses(stamped, spark.read.parquet(path).select(*at).distinct(), at)
     except AnalysisException:  # no table yet
         missing = stamped
     if missing.limit(1).count():
         compute(rows.join(missing.select(*keys), list(keys), "left_semi")).join(missing, list(keys)).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(stamped, at, "left_semi").drop("_content", "_n")
+    return spark.read.parquet(path).join(stamped, at, "left_semi").drop(*stamp.values())

@@ -18,9 +18,9 @@ def query(name: str, sql: str):
     return keep
 
 
-@query("library_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '#12')")
+@query("library_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring')")
 def library_search(spark, d):
-    return library.search(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", "  #12 ")
+    return library.search(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", "  RING ")
 
 
 @query("filtered_recents", "SELECT c_custkey, c_name AS path FROM customer WHERE c_custkey % 2 = 1 AND contains(lower(c_name), '00')")

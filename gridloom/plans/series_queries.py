@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-RULES = [(0, "*10", 5), (0, "part#1*", 3), (0, "*", 1), (1, "*5*", 8), (1, "part#2*", 9), (0, "*_%", 7), (1, "part#*7", 4), (0, "", 2)]
+RULES = [(0, "*10", 5), (0, "part#1*", 3), (0, "*", 1), (1, "*5*", 8), (1, "part#2*", 9), (0, "*_%", 7), (1, "part#*7", 4), (0, "", 2), (0, "* ring", 3), (1, "small *", 9), (1, "red widget", 6), (0, "r*t", 11)]
 RULES_SQL = f"rules(tier, key, detail) AS (VALUES {', '.join(f'({t}, {chr(39)}{k}{chr(39)}, {d})' for t, k, d in RULES)})"
 MATCH_SQL = r"length(key) > 0 AND p_name LIKE replace(replace(replace(replace(key, '\', '\\'), '%', '\%'), '_', '\_'), '*', '%') ESCAPE '\'"
 
@@ -85,11 +85,11 @@ def keyframe_trim(spark, d):
     return keyframes.trim(keys, ["user_id"], "t", F.lit(473400), F.lit(473900), "event_id")
 
 
-@query("missing_keys", """WITH e AS (SELECT DISTINCT user_id, epoch_us(ts) // 86400000000 AS t FROM events), w AS (SELECT user_id, min(t) + i AS t FROM e, range(5) AS r(i) GROUP BY user_id, i)
+@query("missing_keys", """WITH e AS (SELECT DISTINCT user_id, epoch_us(ts) // 86400000000 AS t FROM events), w AS (SELECT user_id, unnest(range(min(t), max(t) + 1)) AS t FROM e GROUP BY user_id)
 SELECT user_id, t FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = w.user_id AND e.t = w.t)""")
 def missing_keys(spark, d):
     days = table(spark, d, "events").select("user_id", F.floor(seconds("ts") / 86400).alias("t"))
-    wanted = days.groupBy("user_id").agg(F.min("t").alias("t")).select("user_id", F.explode(F.expr("sequence(t, t + 4)")).alias("t"))
+    wanted = days.groupBy("user_id").agg(F.min("t").alias("a"), F.max("t").alias("b")).select("user_id", F.explode(F.sequence("a", "b")).alias("t"))
     return keyframes.missing_keys(wanted, days, ["user_id"], "t")
 
 
@@ -101,7 +101,7 @@ def start_offsets(spark, d):
 
 @query("adaptive_sampling")
 def adaptive_sampling(spark, d):
-    curve = table(spark, d, "events").select((F.col("user_id") % 16).alias("series"), (F.col("event_id")).cast("double").alias("t"), F.col("value").alias("v"))
+    curve = table(spark, d, "events").select(F.col("user_id").alias("series"), (F.col("event_id")).cast("double").alias("t"), F.col("value").alias("v"))
     return keyframes.sample_needed(curve, ["series"], 1.0, 25.0)
 
 
@@ -152,7 +152,9 @@ def open_documents(spark, d):
     return changes.open_only(table(spark, d, "orders").select("o_orderkey", "o_custkey"), opened, "o_custkey")
 
 
-@query("fingerprint")
+@query("fingerprint", """WITH h AS (SELECT l_returnflag, l_linestatus, md5(concat('=', l_orderkey, chr(31), '=', l_linenumber, chr(31), '=', l_partkey, chr(31), '=', l_quantity, chr(31))) AS m FROM lineitem)
+SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(('0x' || substr(m, 1, 15))::BIGINT) % 1152921504606846976 AS BIGINT) AS content,
+CAST(sum(('0x' || substr(m, 17, 15))::BIGINT) % 1152921504606846976 AS BIGINT) AS content2 FROM h GROUP BY ALL""")
 def fingerprint(spark, d):
     return changes.fingerprint(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
 

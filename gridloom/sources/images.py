@@ -53,3 +53,12 @@ def cells(images: DataFrame, threshold: int = 1) -> DataFrame:
 
 def load_images(spark: SparkSession, folder: str, threshold: int = 128) -> DataFrame:
     return cells(spark.read.format("image").option("dropInvalid", "true").load(folder), threshold)
+
+
+def load_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Layers (path, x0, y0, x1, y1: the box of what isn't fully transparent) and their cells in that box; empty layers are dropped."""
+    from gridloom.operators import grid
+
+    found = load_images(spark, folder, 1)
+    box = grid.bounding_box(found, by=["path"])
+    return box, grid.crop(found, box, ["path"])

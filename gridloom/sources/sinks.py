@@ -26,8 +26,11 @@ def path_arrays(start: Column, cubics: Column, scale: float) -> Column:
     ).otherwise(F.struct(ends.alias("v"), F.concat(F.array(zero), ins).alias("i"), F.concat(outs, F.array(zero)).alias("o")))
 
 
-def documents_json(paths: DataFrame, scale: float) -> DataFrame:
-    """paths (doc, layer, z, group, color, path, start, cubics): one JSON text a document; order is z, group, path."""
+def documents_json(paths: DataFrame, scale: float, frames: DataFrame | None = None) -> DataFrame:
+    """paths (doc, layer, z, group, color, path, start, cubics): one JSON text a document; order is z, group, path.
+
+    frames (doc, width, height, stroke: a nullable struct) puts size, scale and stroke in front; a document without paths has no layers.
+    """
     pair = lambda a: F.transform(a, lambda p: F.array(p["x"], p["y"]))
     arrays = path_arrays(F.col("start"), F.col("cubics"), scale)
     shaped = paths.withColumn("p", arrays).withColumn("p", F.struct(pair(F.col("p.v")).alias("v"), pair(F.col("p.i")).alias("i"), pair(F.col("p.o")).alias("o")))
@@ -35,7 +38,17 @@ def documents_json(paths: DataFrame, scale: float) -> DataFrame:
     groups = shaped.groupBy("doc", "layer", "z", "group", "color").agg(inner(F.struct("path", F.col("p").alias("x"))).alias("paths"))
     layers = groups.groupBy("doc", "layer", "z").agg(inner(F.struct("group", F.struct("color", "paths").alias("x"))).alias("groups"))
     docs = layers.groupBy("doc").agg(inner(F.struct("z", F.struct(F.col("layer").alias("name"), "groups").alias("x"))).alias("layers"))
-    return docs.select("doc", F.to_json(F.struct("doc", "layers")).alias("json"))
+    if frames is None:
+        return docs.select("doc", F.to_json(F.struct("doc", "layers")).alias("json"))
+    whole = frames.select("doc", "width", "height", "stroke").join(docs, "doc", "left")
+    empty = F.array().cast(dict((f.name, f.dataType) for f in docs.schema.fields)["layers"])
+    return whole.select("doc", F.to_json(F.struct("doc", "width", "height", F.lit(scale).alias("scale"), "stroke", F.coalesce("layers", empty).alias("layers"))).alias("json"))
+
+
+def export(paths: DataFrame, layers: DataFrame, scale: float, frames: DataFrame, folder: str) -> None:
+    """Each document's enabled layers (doc, layer, enabled), hidden or not, as JSON under the folder."""
+    kept = paths.join(layers.where("enabled").select("doc", "layer"), ["doc", "layer"], "left_semi")
+    write_documents(documents_json(kept, scale, frames), "json", folder)
 
 
 def number(v: Column) -> Column:

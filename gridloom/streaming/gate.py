@@ -53,3 +53,27 @@ def relaunch_order(flags: DataFrame) -> DataFrame:
     """doc and the job to start first: a dirty strip, then a dirty full render, then a queued one."""
     job = F.when(F.col("strip_dirty"), "strip").when(F.col("full_dirty"), "full").when(F.col("full_queued"), "queued")
     return flags.select("doc", job.alias("job")).where("job is not null")
+
+
+def gated_by_session(events: DataFrame) -> DataFrame:
+    """events (doc, seq, generation, kind: ``live`` or ``part``): whether each part's generation is the one its document last declared live.
+
+    The declared generation is the state, so a stale part is refused also before the first new one comes. Streams and tables alike.
+    """
+    if events.isStreaming:
+
+        def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            live = state.get[0] if state.exists else -1
+            rows = pd.concat(list(frames)).sort_values(["seq", "kind"])
+            taken = []
+            for g, kind in zip(rows["generation"], rows["kind"], strict=True):
+                if kind == "live":
+                    live = int(g)
+                taken.append(g == live)
+            state.update((live,))
+            yield rows.assign(accepted=taken)[rows["kind"] == "part"][["doc", "seq", "generation", "accepted"]]
+
+        return events.select("doc", "seq", "generation", "kind").groupBy("doc").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    from gridloom.operators.changes import accepted
+
+    return accepted(events.where("kind = 'part'"), events.where("kind = 'live'"), ["doc"], "seq")

@@ -9,7 +9,6 @@ from compare import connect, difference  # noqa: E402
 from gridloom.plans.catalog import ORACLES, QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-HEAVY = {"speckle_merge", "stroke_merge", "band_absorb", "simplified_fit", "document_svg"}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +21,7 @@ def test_against_sql(spark, con, name):
     assert difference(QUERIES[name](spark, SF), con, ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - HEAVY))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_kernels_give_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 

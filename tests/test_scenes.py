@@ -73,6 +73,56 @@ def test_components_and_ancestors(spark):
     assert {tuple(r) for r in ancestors(up).collect()} == {(a, b, a - b) for a in range(20) for b in range(a)}
 
 
+def test_chains_of_a_thousand_and_cycles(spark):
+    up = spark.createDataFrame([(k, k - 1 if k else None) for k in range(1000)], "child long, parent long")
+    found = ancestors(up)
+    assert found.count() == 1000 * 999 // 2 and found.where("node - ancestor <> steps").count() == 0
+    ring = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 0)], "child long, parent long")
+    assert {tuple(r) for r in ancestors(ring).where("node in (0, 3)").collect()} == {(0, 1, 1), (0, 2, 2), (0, 0, 3), (3, 0, 1), (3, 1, 2), (3, 2, 3)}
+
+
+def test_images_stay_apart(spark):
+    two = spark.createDataFrame([(1, 0, 0, "a"), (2, 0, 0, "a"), (2, 1, 0, "a")], "image int, x int, y int, color string")
+    assert sorted((r.image, r.area) for r in grid.regions(two, 8, ["image"]).collect()) == [(1, 1), (2, 2)]
+    assert sorted((r.image, r.depth) for r in grid.depth(two, by=["image"]).collect()) == [(1, 1), (2, 1), (2, 1)]
+    rings = [(i, x, y) for i in (1, 2) for x in range(3 + i) for y in range(3 + i) if x in (0, 2 + i) or y in (0, 2 + i)]
+    inside = grid.holes(spark.createDataFrame(rings, "image int, x int, y int"), ["image"])
+    assert sorted((r.image, r.n) for r in inside.groupBy("image").agg(F.count("*").alias("n")).collect()) == [(1, 4), (2, 9)]
+    deep = spark.range(41 * 41).select((F.col("id") % 41).cast("int").alias("x"), F.floor(F.col("id") / 41).cast("int").alias("y"), F.lit(0).alias("color"))
+    assert grid.depth(deep).agg(F.max("depth"), F.count("*")).first() == (21, 41 * 41)
+
+
+def test_corners_measure_arms_straight():
+    stairs = np.array([[0, 0], [1, 0], [1, 1], [2, 1], [2, 2], [3, 2], [3, 3]], float)
+    assert curves.corners_open(stairs, 0.5, 2.0).tolist() == [1, 3, 5]
+
+
+def test_fits_stay_near(spark):
+    chord = curves.fit_open(np.array([[0.0, 0.0], [10.0, 0.0]]), 0.5, np.array([0.0, 1.0]), np.array([0.0, 1.0]))[0]
+    assert curves.bezier(chord, np.linspace(0, 1, 101))[:, 1].max() <= 0.5 + 1e-9
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        line = np.cumsum(rng.normal(size=(12, 2)) * 6, axis=0)
+        found = curves.fit_open(line, 0.7)
+        curve = np.vstack([curves.bezier(c, np.linspace(0, 1, 65)) for c in found])
+        gaps = np.min([np.linalg.norm(curve - a - np.clip(((curve - a) @ (b - a)) / ((b - a) @ (b - a)), 0, 1)[:, None] * (b - a), axis=1) for a, b in zip(line, line[1:])], axis=0)
+        assert gaps.max() <= 0.7 + 0.05
+    loose = curves.fit_open(line, 0.7, slack=np.full(12, 50.0))
+    assert len(loose) < len(found)
+
+
+def test_residue_folds_as_it_should():
+    def run(nodes, edges):
+        g = merging.Graph(pd.DataFrame(nodes, columns=["region", "r", "g", "b", "area", "perimeter", "x0", "y0", "x1", "y1"]), pd.DataFrame(edges, columns=["lo", "hi", "sides"]))
+        merging.residue(g)
+        return g.table().set_index("region")["root"].to_dict()
+
+    lone = [(0, 200, 200, 200, 300, 70, 0, 0, 19, 14), (1, 20, 20, 20, 2, 6, 3, 3, 4, 3)]
+    assert run(lone, [(0, 1, 6)]) == {0: 0, 1: 0}  # a dark speck with no dark neighbour folds
+    hugging = [(0, 41, 41, 41, 140, 48, 0, 0, 9, 13), (1, 51, 51, 51, 14, 30, 10, 0, 10, 13), (2, 217, 217, 217, 140, 48, 11, 0, 20, 13)]
+    assert run(hugging, [(0, 1, 14), (1, 2, 14)]) == {0: 0, 1: 0, 2: 2}
+
+
 def test_pins_are_scaled_to_cell_centres(spark):
     df = spark.createDataFrame([(10, 20), (3, 3), (100, 100)], "x int, y int")
     pin = S.scaled_pin(F.col("x"), F.col("y"), F.lit(8), F.lit(16), F.lit(3), F.lit(8), F.lit(8))
@@ -169,6 +219,8 @@ def test_change_log(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "k int, v string")
     b = spark.createDataFrame([(1, "x"), (2, "y"), (4, None)], "k int, v string")
     assert sorted(table(changes.difference(a, b, ["k"], "v"))) == [(2, None, "y"), (3, "z", None)]
+    twice = lambda v: changes.fingerprint(spark.createDataFrame([(v,), (v,)], "v string"), [], ["v"]).first()
+    assert twice("A") != twice("B") and twice("A").n == 2
     shuffled = changes.fingerprint(a.repartition(3), [], ["k", "v"]).first()
     assert shuffled == changes.fingerprint(a, [], ["k", "v"]).first()
 
@@ -208,7 +260,9 @@ def test_seams(spark):
     assert {tuple(r) for r in seams.shared_runs(ring, "ring", "k", "v").collect()} == {(0, 5, 3, "a"), (0, 2, 3, "b"), (1, 0, 3, "z")}
     path = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 1, 0), (0, 2, 2, 0), (0, 3, 2, 1)], "ring int, k int, x int, y int")
     assert [r.k for r in seams.direction_changes(path, "ring").orderBy("k").collect()] == [0, 2, 3]
-    assert seams.densify(path.where("k <> 1"), "ring").count() == 3
+    assert seams.densify(path.where("k <> 1"), "ring", closed=False).count() == 3
+    square = spark.createDataFrame([(0, k, x, y) for k, (x, y) in enumerate([(0, 0), (2, 0), (2, 2), (0, 2)])], "ring int, k int, x int, y int")
+    assert sorted((r.x, r.y) for r in seams.densify(square, "ring").collect()) == sorted([(0, 0), (1, 0), (2, 0), (2, 1), (2, 2), (1, 2), (0, 2), (0, 1)])
     cyc = spark.createDataFrame([([3, 1, 2],), ([2, 1, 3],)], "a array<int>").select(seams.canonical_cycle(F.col("a"))).collect()
     assert cyc[0][0] == cyc[1][0] == [1, 2, 3]
 
@@ -219,8 +273,8 @@ def test_rings_and_curves(spark):
     holed = mask(spark, (0, 0, 6, 6), holes=[(2, 2, 4, 4)]).withColumn("region", F.lit(1))
     assert curves.rings(holed).select("ring").distinct().count() == 2
     hexagon = np.array([[math.cos(k * math.pi / 3) * 20, math.sin(k * math.pi / 3) * 20] for k in range(6)])
-    fixed = curves.corners(hexagon, 0.5, 1.0)
-    assert len(fixed) == 6
+    assert curves.corners(hexagon, 0.5, 1.0).tolist() == [0]  # one run of sharp points, and of equal ones the first
+    fixed = np.arange(6)
     cubics = curves.fit_closed(hexagon, fixed, 1.0)
     assert len(cubics) == 6 and all(np.allclose(a[3], b[0]) for a, b in zip(cubics, cubics[1:] + cubics[:1], strict=True))
     assert 3 <= len(curves.simplify(cubics, 1000.0, math.pi)) < 6
@@ -314,3 +368,21 @@ def test_png_source(spark, tmp_path):
     got = {(r.x, r.y, r.r, r.g, r.b) for r in images.load_images(spark, str(tmp_path)).collect()}
     assert got == {(x, y, 10 * x, 20 * y, 30) for x in (1, 2) for y in (0, 1)}
     assert [r.name for r in images.scan_folder(spark, str(tmp_path)).collect()] == ["a b"]
+
+
+def test_neighbours_share_their_border(spark):
+    from gridloom.operators import stitching
+
+    rows = [(x, y, "a" if x + y % 3 < 9 else "b") for x in range(18) for y in range(12)] + [(x, y, "c") for x in range(30, 36) for y in range(6) if not (32 <= x < 34 and 2 <= y < 4)] + [(x, y, "d") for x in (32, 33) for y in (2, 3)]
+    rings = curves.rings(spark.createDataFrame(rows, "x int, y int, region string"))
+    out = stitching.stitched(rings, ["region", "ring"]).collect()
+    paths = {}
+    for r in sorted(out, key=lambda r: (r.region, r.ring, r.seg)):
+        paths.setdefault((r.region, r.ring), []).append(tuple(r[c] for c in stitching.NAMES))
+    for cubics in paths.values():  # closed, without gaps
+        assert all(a[6:] == b[:2] for a, b in zip(cubics, cubics[1:] + cubics[:1], strict=True))
+    back = lambda c: c[6:] + c[4:6] + c[2:4] + c[:2]
+    a, b = (next(v for k, v in paths.items() if k[0] == x) for x in "ab")
+    shared = {c for c in a if back(c) in b}
+    assert shared and {c for c in a if any(7 < c[k] < 11 for k in (0, 6)) and 0 < c[1] < 12} <= shared
+    assert {back(c) for c in paths["d", 0]} in [set(v) for k, v in paths.items() if k[0] == "c"]
