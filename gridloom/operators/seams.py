@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def partners(segments: DataFrame, ring: str, ends: Sequence[str] = ("x0", "y0", "x1", "y1")) -> DataFrame:
-    """Segments (ring, ends, ...) with ``partners``, the other rings on the same undirected segment, ascending."""
+def partners(segments: DataFrame, ring: str, ends: Sequence[str] = ("x0", "y0", "x1", "y1"), by: Sequence[str] = ()) -> DataFrame:
+    """Segments (by, ring, ends, ...) with ``partners``, the other rings on the same undirected segment, ascending."""
     a, b = (F.struct(F.col(ends[k]).alias("x"), F.col(ends[k + 1]).alias("y")) for k in (0, 2))
     keyed = segments.withColumn("_lo", F.least(a, b)).withColumn("_hi", F.greatest(a, b))
-    shared = keyed.groupBy("_lo", "_hi").agg(F.sort_array(F.collect_set(ring)).alias("_all"))  # few rings meet at a unit segment
-    return keyed.join(shared, ["_lo", "_hi"]).withColumn("partners", F.array_except("_all", F.array(ring))).drop("_lo", "_hi", "_all")
+    shared = keyed.groupBy(*by, "_lo", "_hi").agg(F.sort_array(F.collect_set(ring)).alias("_all"))  # few rings meet at a unit segment
+    return keyed.join(shared, [*by, "_lo", "_hi"]).withColumn("partners", F.array_except("_all", F.array(ring))).drop("_lo", "_hi", "_all")
 
 
 def shared_runs(points: DataFrame, ring: str, k: str = "k", value: str = "partners") -> DataFrame:

@@ -22,15 +22,15 @@ from gridloom.plans.lineage import cut
 NAMES = ["x0", "y0", "c1x", "c1y", "c2x", "c2y", "ex", "ey"]
 
 
-def stretches(rings: DataFrame, by: list[str]) -> DataFrame:
-    """rings (by, k, x, y: lattice corners): id, first, whole and points (unit steps) of each stretch of equal neighbours."""
+def stretches(rings: DataFrame, by: list[str], image: str | None = None) -> DataFrame:
+    """rings (by, k, x, y: lattice corners): id, first, whole and points (unit steps) of each stretch of equal neighbours in the same image (one of by)."""
     named = rings.withColumn("id", F.struct(*by))
     dense = seams.densify(named, "id")
     order = Window.partitionBy("id").orderBy("k", "step")
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = {f"{c}1": F.coalesce(F.lead(c).over(order), F.first(c).over(every)) for c in ("x", "y")}
     steps = dense.withColumns({"pos": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy("id")), **ends})
-    met = cut(seams.partners(steps.withColumnsRenamed({"x": "x0", "y": "y0"}).select("id", "pos", "n", "x0", "y0", "x1", "y1"), "id"))
+    met = cut(seams.partners(steps.withColumnsRenamed({"x": "x0", "y": "y0"}).select("id", "pos", "n", "x0", "y0", "x1", "y1", *([F.col(f"id.{image}").alias("image")] if image else [])), "id", by=["image"] if image else []))
     runs = seams.shared_runs(met.select("id", "pos", "partners"), "id", "pos").select("id", "first", "size")
     inside = met.join(runs, "id").withColumn("at", F.pmod(F.col("pos") - F.col("first"), F.col("n"))).where("at < size")
     point = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
@@ -59,7 +59,7 @@ def _bare(points: np.ndarray, whole: bool) -> np.ndarray:
     return points[turns]
 
 
-def stitched(rings: DataFrame, by: list[str], tolerance: float = 0.5, threshold: float = 1.2, arm: float = 2.0, radius: float = 1.0) -> DataFrame:
+def stitched(rings: DataFrame, by: list[str], tolerance: float = 0.5, threshold: float = 1.2, arm: float = 2.0, radius: float = 1.0, image: str | None = None) -> DataFrame:
     """rings (by, k, x, y): by, seg and the cubic's eight coordinates, as ``curves.fit_rings`` gives them, shared borders equal on both sides."""
     kinds = dict(rings.dtypes)
 
@@ -85,7 +85,7 @@ def stitched(rings: DataFrame, by: list[str], tolerance: float = 0.5, threshold:
             yield frame.assign(cubics=out)
 
     id_kind = f"struct<{', '.join(f'{c}: {kinds[c]}' for c in by)}>"
-    runs = cut(stretches(rings, by).mapInPandas(name, f"id {id_kind}, first int, whole boolean, chain array<double>, flip boolean"))
+    runs = cut(stretches(rings, by, image).mapInPandas(name, f"id {id_kind}, first int, whole boolean, chain array<double>, flip boolean"))
     fits = runs.select("chain", "whole").distinct().mapInPandas(fit, "chain array<double>, whole boolean, cubics array<array<double>>")
     both = runs.join(fits, ["chain", "whole"])
     # A cubic backwards: its four points in the other order.

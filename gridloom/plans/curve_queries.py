@@ -191,9 +191,8 @@ def stitched_paths(spark, d):
     found = grid.region_cells(grid.region_runs(cells, 16, ["image"]), ["image"])
     label = F.concat_ws(":", "image", "region").alias("label")
     rings = curves.rings(found.select("x", "y", label), "label")
-    image = F.element_at(F.split("label", ":"), 1).cast("long")
-    moved = rings.withColumn("x", F.col("x") + 100 * image)  # images lie apart, so that only neighbours share a border
-    return stitching.stitched(moved, ["label", "ring"])
+    rings = rings.withColumn("image", F.element_at(F.split("label", ":"), 1).cast("long"))
+    return stitching.stitched(rings, ["image", "label", "ring"], image="image").drop("image")
 
 
 @query("bezier_fit")

@@ -10,7 +10,6 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.functions import color as C
 from gridloom.operators import assign, curves, grid, merging, palette, stitching
@@ -158,13 +157,9 @@ def trace(cells: DataFrame, s: Settings = Settings(), pins: DataFrame | None = N
         s = replace(s, width=(cells.agg(F.max("x")).first()[0] or 0) + 1)
     covered, order = shapes(cells, s, pins)
     rings = curves.rings(covered.withColumn("label", F.concat_ws(":", "image", "shape")).select("x", "y", "label"), "label")
-    if s.stitch:  # images are told apart by their labels' rings; x is moved so that borders of different images never meet
-        image = F.dense_rank().over(Window.orderBy("image"))
-        places = cells.select("image").distinct().withColumn("at", image * 2 * (s.width * s.scale + 1))
-        far = order.select("image", F.concat_ws(":", "image", "shape").alias("label")).join(F.broadcast(places) if places.limit(10_000).count() < 10_000 else places, "image").select("label", "at")
-        moved = rings.join(far, "label").withColumn("x", F.col("x") + F.col("at")).drop("at")
-        fitted = stitching.stitched(moved, ["label", "ring"], s.tolerance, s.corner, 2.0, s.smoothing).join(far, "label")
-        fitted = fitted.withColumns({c: F.col(c) - F.col("at") for c in ("x0", "c1x", "c2x", "ex")}).drop("at")
+    if s.stitch:
+        rings = rings.join(order.select("image", F.concat_ws(":", "image", "shape").alias("label")), "label")
+        fitted = stitching.stitched(rings, ["image", "label", "ring"], s.tolerance, s.corner, 2.0, s.smoothing, "image").drop("image")
     else:
         fitted = curves.fit_rings(rings, ["label", "ring"], s.tolerance, s.corner, 2.0, s.smoothing)
     p = lambda x, y: F.struct((F.col(x) / s.scale).alias("x"), (F.col(y) / s.scale).alias("y"))
