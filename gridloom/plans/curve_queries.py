@@ -257,4 +257,5 @@ def traced_images(spark, d):
     from gridloom.plans import trace
 
     images = _images(spark, d).withColumn("a", F.lit(255))
-    return trace.counts(trace.trace(images))
+    light = trace.Settings(absorb_distance=0, stroke_width=0, least_hole=0, stitch=False)
+    return trace.counts(trace.trace(images, light))

@@ -128,6 +128,8 @@ def shapes(cells: DataFrame, s: Settings, pins: DataFrame | None = None) -> tupl
     own = settled.groupBy("image", "region").agg(*(F.first(c).alias(c) for c in "rgb"))
     order = tree.join(own, ["image", "region"]).select("image", F.col("region").alias("shape"), "place", C.to_hex(F.col("r"), F.col("g"), F.col("b")).alias("color"))
     covered = cut(settled.select("image", "x", "y", "region").join(above, ["image", "region"]).select("image", "x", "y", "shape"))
+    if s.least_hole <= 0:
+        return covered, order
     # A hole is filled unless another drawn region lies in it, or it is large and partly transparent.
     whole = ["image", "shape", "hole"]
     inside = cut(grid.holes(covered, ["image", "shape"]))
