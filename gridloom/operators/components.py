@@ -39,10 +39,11 @@ def ancestors(links: DataFrame) -> DataFrame:
     Each round doubles the steps that are covered, so a chain of n takes log2(n) rounds, until none adds a pair.
     """
     known = cut(links.where("parent is not null").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("steps")).distinct())
-    pairs = known.count()
-    while True:
-        longer = known.join(known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"), F.col("steps").alias("more")), "ancestor")
+    pairs, reach = known.count(), 1
+    while True:  # the last ``reach`` steps of a longer way are one of the pairs that far apart
+        longer = known.join(known.where(F.col("steps") == reach).select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"), F.col("steps").alias("more")), "ancestor")
         longer = longer.select("node", F.col("next").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps"))
         known = cut(known.unionByName(longer).groupBy("node", "ancestor").agg(F.min("steps").alias("steps")))
+        reach *= 2
         if pairs == (pairs := known.count()):
             return known
