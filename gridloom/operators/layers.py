@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as S
-from gridloom.operators.components import ancestors
+from gridloom.operators.components import ancestors, with_above
 
 SHY = ("Fill", "Depth Fix", "DF", "Border", "Balls")
 RIG = ("B < ", "IK < ", "C < ", "N < ")
@@ -71,8 +71,8 @@ def skip_parents(layers: DataFrame, skipped: Column) -> DataFrame:
 
 def with_ancestors(layers: DataFrame, seeds: DataFrame) -> DataFrame:
     """The layers that are seeds (name) or an ancestor of one."""
-    above = tree_ancestors(layers).join(seeds.select(F.col("name").alias("node")), "node", "left_semi").select(F.col("ancestor").alias("name"))
-    return layers.join(seeds.select("name").union(above).distinct(), "name", "left_semi")
+    kept = with_above(layers.select(F.col("name").alias("child"), "parent"), seeds.select(F.col("name").alias("node")))
+    return layers.join(kept.select(F.col("node").alias("name")), "name", "left_semi")
 
 
 def last_by_name(layers: DataFrame, name: str, ordinal: str, value: str) -> DataFrame:

@@ -386,3 +386,18 @@ def test_neighbours_share_their_border(spark):
     shared = {c for c in a if back(c) in b}
     assert shared and {c for c in a if any(7 < c[k] < 11 for k in (0, 6)) and 0 < c[1] < 12} <= shared
     assert {back(c) for c in paths["d", 0]} in [set(v) for k, v in paths.items() if k[0] == "c"]
+
+
+def test_kept_layers_without_the_closure(spark, monkeypatch):
+    """Of a chain of n every table has n rows at most, not n * n / 2 pairs; cycles and second parents are followed too."""
+    from gridloom.operators import components as module
+
+    sizes, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: (out := cut(df), sizes.append(out.count()))[0])
+    chain = spark.range(300).selectExpr("id as name", "if(id > 0, id - 1, null) as parent")
+    assert layers.pruned(chain, F.col("name") == 200).count() == 201 and max(sizes) <= 300
+    odd = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "b"), ("d", "e"), ("e", None), ("f", "d"), ("g", "f")], "child string, parent string")
+    pairs = {(r.node, r.ancestor) for r in ancestors(odd).collect()}
+    for seeds in (["g"], ["f"], ["d"], ["c"], ["e"], ["a", "e"], []):
+        found = module.with_above(odd, spark.createDataFrame([(x,) for x in seeds], "node string"))
+        assert sorted(r.node for r in found.collect()) == sorted({*seeds, *(b for a, b in pairs if a in seeds)})
