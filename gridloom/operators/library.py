@@ -110,15 +110,14 @@ def sub_path_anchors(paths: DataFrame) -> DataFrame:
 def expression_owners(properties: DataFrame, by: Sequence[str]) -> DataFrame:
     """properties (by, node, parent, expression, enabled): the groups and properties with an enabled expression in or under them.
 
-    Trees are closed by doubling, so deep ones take few rounds.
+    The steps upward double, so deep trees take few rounds.
     """
-    from gridloom.operators.components import ancestors
+    from gridloom.operators.components import with_above
 
     key = lambda c: F.struct(*by, F.col(c).alias("node"))
     own = properties.where(F.col("enabled") & (F.length("expression") > 0)).select(key("node").alias("node"))
-    up = ancestors(properties.select(key("node").alias("child"), F.when(F.col("parent").isNotNull(), key("parent")).alias("parent")))
-    above = up.join(own, "node", "left_semi").select(F.col("ancestor").alias("node"))
-    return own.union(above).distinct().select("node.*")
+    links = properties.select(key("node").alias("child"), F.when(F.col("parent").isNotNull(), key("parent")).alias("parent"))
+    return with_above(links, own).select("node.*")
 
 
 def covering(shapes: DataFrame, survivors: DataFrame, at: Sequence[str], label: str) -> DataFrame:

@@ -391,11 +391,15 @@ def test_neighbours_share_their_border(spark):
 def test_kept_layers_without_the_closure(spark, monkeypatch):
     """Of a chain of n every table has n rows at most, not n * n / 2 pairs; cycles and second parents are followed too."""
     from gridloom.operators import components as module
+    from gridloom.operators import library
 
     sizes, cut = [], module.cut
     monkeypatch.setattr(module, "cut", lambda df: (out := cut(df), sizes.append(out.count()))[0])
     chain = spark.range(300).selectExpr("id as name", "if(id > 0, id - 1, null) as parent")
     assert layers.pruned(chain, F.col("name") == 200).count() == 201 and max(sizes) <= 300
+    sizes.clear()
+    owned = chain.selectExpr("name as node", "parent", "'x' as expression", "name in (40, 250) as enabled")
+    assert {r.node for r in library.expression_owners(owned, []).collect()} == set(range(251)) and max(sizes) <= 300
     odd = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "b"), ("d", "e"), ("e", None), ("f", "d"), ("g", "f")], "child string, parent string")
     pairs = {(r.node, r.ancestor) for r in ancestors(odd).collect()}
     for seeds in (["g"], ["f"], ["d"], ["c"], ["e"], ["a", "e"], []):
