@@ -405,3 +405,20 @@ def test_kept_layers_without_the_closure(spark, monkeypatch):
     for seeds in (["g"], ["f"], ["d"], ["c"], ["e"], ["a", "e"], []):
         found = module.with_above(odd, spark.createDataFrame([(x,) for x in seeds], "node string"))
         assert sorted(r.node for r in found.collect()) == sorted({*seeds, *(b for a, b in pairs if a in seeds)})
+
+
+def test_large_images_merge_by_rounds_as_kernels_do(spark, monkeypatch):
+    """Random cells: every round has picks that meet, and the second image is small."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), x, y, *(int(v) * 20, int(v) * 20 + 10, 255 - int(v) * 8)) for i, h in ((0, 9), (1, 2)) for y in range(h) for x, v in enumerate(rng.integers(1, 6, 12))]
+    nodes, edges = (merging.cut(df) for df in merging.region_graph(spark.createDataFrame(rows, "image int, x int, y int, r int, g int, b int"), 12))
+    size = nodes.where("image = 0").count()
+    assert nodes.where("image = 1").count() < size // 2
+    by_rounds = []
+    monkeypatch.setattr(merging, "_by_rounds", lambda n, *a, f=merging._by_rounds, **k: (by_rounds.append(n.count()), f(n, *a, **k))[1])
+    for kind, settings in (("bands", {"distance": 0.08, "mean_width": 2.5, "most_width": 4.0}), ("strokes", {"width": 4.0, "distance": 0.08}), ("speckles", {"floor": 4})):
+        whole = sorted(table(merging._by_kernel(nodes, edges, kind, **settings)))
+        monkeypatch.setattr(merging, "MOST_REGIONS", size // 2)
+        assert sorted(table(merging.merged(nodes, edges, kind, **settings))) == whole
+        assert len({r[2] for r in whole}) < len(whole)
+    assert by_rounds == [size] * 3
