@@ -422,3 +422,50 @@ def test_large_images_merge_by_rounds_as_kernels_do(spark, monkeypatch):
         assert sorted(table(merging.merged(nodes, edges, kind, **settings))) == whole
         assert len({r[2] for r in whole}) < len(whole)
     assert by_rounds == [size] * 3
+
+
+def test_paint_order_of_one_large_image(spark):
+    """Several images in a task come out as a plain search has them, and an image takes some bytes a region and border, not objects."""
+    import heapq
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    nodes = [(i, k * 3 + 1, int(rng.integers(0, 3)), int(rng.integers(1, 4))) for i in range(12) for k in range(int(rng.integers(1, 40)))]
+    pairs = {(i, *sorted((a, int(rng.integers(0, 40)) * 3 + 1))) for i, a, _, _ in nodes for _ in range(2)}
+    edges = [(i, a, b, int(rng.integers(1, 4))) for i, a, b in sorted(pairs) if a != b]
+    expected = []
+    for image in range(12):
+        rank = {r: (o, area, -r) for i, r, o, area in nodes if i == image}
+        near = {r: [] for r in rank}
+        for i, a, b, s in edges:
+            if i == image and a in rank and b in rank:  # borders of other regions than the nodes count for nothing
+                near[a].append((b, s))
+                near[b].append((a, s))
+        inside, place = set(), 0
+        for first in sorted(rank):
+            group, todo = {first}, [first]
+            while todo:
+                todo += (new := {j for j, _ in near[todo.pop()]} - group)
+                group |= new
+            heap = [] if first in inside else [(0, max(group, key=rank.get), None)]
+            while heap:
+                _, child, parent = heapq.heappop(heap)
+                if child not in inside:
+                    inside.add(child)
+                    expected.append((image, child, parent, place))
+                    place += 1
+                    for j, s in near[child]:
+                        heapq.heappush(heap, (-s, j, child))
+    out = merging.paint_order(spark.createDataFrame(nodes, "image int, region long, open_len long, area long"), spark.createDataFrame(edges, "image int, lo long, hi long, sides long"))
+    assert sorted(map(tuple, out.collect()), key=lambda r: (r[0], r[3])) == expected
+
+    w, h = 150, 200
+    at = np.arange(w * h, dtype=np.int32).reshape(h, w)
+    lo, hi = np.concatenate([at[:, :-1].ravel(), at[:-1].ravel()]), np.concatenate([at[:, 1:].ravel(), at[1:].ravel()])
+    sides = rng.integers(1, 3, len(lo)).astype(np.int32)
+    tracemalloc.start()
+    order, parents = merging._painted(np.zeros(w * h, int), np.ones(w * h, int), lo, hi, sides)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(order.tolist()) == list(range(w * h)) and (parents < 0).sum() == 1
+    assert most < 110 * (w * h + len(lo))
