@@ -469,3 +469,32 @@ def test_paint_order_of_one_large_image(spark):
     tracemalloc.stop()
     assert sorted(order.tolist()) == list(range(w * h)) and (parents < 0).sum() == 1
     assert most < 110 * (w * h + len(lo))
+
+
+def test_rings_are_read_in_sequence_and_forms_fitted_once(spark):
+    """Many rings come through one task in small batches; chains of one form have one fit, moved."""
+    from gridloom.operators import stitching
+
+    made = []
+    fits = curves.Fits(lambda points, whole: made.append(len(points)) or [np.array([points[0], points[0], points[-1], points[-1]])], most=2)
+    assert fits.of([(3.0, 4.0), (5.0, 4.0)], False) == [[3, 4, 3, 4, 5, 4, 5, 4]] and fits.of([(0.0, 9.0), (2.0, 9.0)], False) == [[0, 9, 0, 9, 2, 9, 2, 9]]
+    assert made == [2] and fits.of([(0.0, 9.0), (2.0, 9.0)], True) and made == [2, 2]
+    assert stitching.stretches([(0, 0), (1, 0), (1, 1), (0, 1)], ["a", "a", "b", "a"]) == [([(1, 1), (0, 1)], False), ([(0, 1), (0, 0), (1, 0), (1, 1)], False)]
+
+    blob = [(0, 0), (1, 0), (2, 0), (0, 1), (2, 1), (0, 2), (1, 2), (2, 2), (3, 2)]
+    cells = spark.createDataFrame([(5 * k + x, y, f"r{k}") for k in range(40) for x, y in blob], "x int, y int, region string")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rings, forms, paths = curves.rings(cells).collect(), {}, {}
+        for r in sorted(rings, key=lambda r: (r.region, r.ring, r.k)):
+            forms.setdefault(r.region, []).append((r.ring, r.x - 5 * int(r.region[1:]), r.y))
+        for out in (stitching.stitched(curves.rings(cells), ["region", "ring"]), curves.fit_rings(curves.rings(cells), ["region", "ring"])):
+            rows = sorted(out.collect(), key=lambda r: (r.region, r.ring, r.seg))
+            for region in forms:
+                own = [(r.ring, r.seg, *(round(r[c] - (5 * int(region[1:]) if c.endswith("x") or c == "x0" else 0), 9) for c in stitching.NAMES)) for r in rows if r.region == region]
+                paths.setdefault(id(out), []).append(own)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert len(forms) == 40 and {tuple(v) for v in forms.values()} == {tuple(forms["r0"])} and {r for r, *_ in forms["r0"]} == {0, 1}
+    assert all(len(each) == 40 and each[0] and all(p == each[0] for p in each) for each in paths.values())
