@@ -498,3 +498,20 @@ def test_rings_are_read_in_sequence_and_forms_fitted_once(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
     assert len(forms) == 40 and {tuple(v) for v in forms.values()} == {tuple(forms["r0"])} and {r for r, *_ in forms["r0"]} == {0, 1}
     assert all(len(each) == 40 and each[0] and all(p == each[0] for p in each) for each in paths.values())
+
+
+def test_colours_are_compared_once(spark):
+    """The neighbourhoods are joined once though read twice, and no colour is converted behind the joins that multiply cells."""
+    from gridloom.operators import assign
+    from gridloom.plans import trace
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    targets = spark.createDataFrame([(0, 0, 5), (9, 0, 5)], "x int, y int, v int")
+    sources = spark.createDataFrame([(0, 0, 2), (1, 0, 7)], "x int, y int, idx int")
+    offered = spark.createDataFrame([(2,), (5,), (7,)], "idx int")
+    out = assign.constrained_nearest(targets, sources, 1, F.abs(F.col("v") - F.col("idx")), (), offered)
+    assert sorted(map(tuple, out.collect())) == [(0, 0, 5, 7), (9, 0, 5, 5)] and plan(out).count("Join") == 1
+    image = [(0, x, y, 200 if x < 4 else 20, 30, 40, 255) for x in range(8) for y in range(6)]
+    colored = trace.quantized(spark.createDataFrame(image, "image int, x int, y int, r int, g int, b int, a int"), trace.Settings(width=8))
+    assert "cbrt" not in plan(colored).lower()
+    assert sorted(map(tuple, colored.collect())) == sorted(r[:6] for r in image)
