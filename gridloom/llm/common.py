@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 import tempfile
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,30 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    tidy(df.sparkSession)
+    return out
+
+
+def tidy(spark: SparkSession) -> None:
+    """Give back what the plans so far have left in the driver, if over a fifth of its heap is taken.
+
+    Else the heap grows with the plans' garbage, broadcasts and shuffles stay until the collector happens to run, and what
+    the JVM's compilers and threads have freed stays with the C library. Nothing that is still referred to goes.
+    """
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() - heap.freeMemory() <= heap.maxMemory() // 5:
+        return
+    jvm.java.lang.System.gc()
+    with contextlib.suppress(Py4JError, StopIteration):  # not every JVM has this command
+        new = spark.sparkContext._gateway.new_array
+        args = new(jvm.java.lang.Object, 4)
+        args[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        args[1] = "systemTrimNativeHeap"
+        # By way of the public interface: the server's own class can't be called from outside its module.
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
 
 
 def marked(ids: DataFrame, column: str, name: str = "__hit"):

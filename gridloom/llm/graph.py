@@ -15,6 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     minima keep a node with very many links from gathering in one task. Each round is cut to the checkpoint folder.
     """
     pairs = cut(links.select(F.greatest("a", "b").alias("n"), F.least("a", "b").alias("r")).where("n <> r").distinct())
+    before = _digest(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("r").alias("n"), F.col("n").alias("r")))
         least = both.groupBy("n").agg(F.min("r").alias("m")).select("n", F.least("n", "m").alias("m"))
@@ -23,11 +24,11 @@ def components(links: DataFrame) -> DataFrame:
         least = stars.groupBy("n").agg(F.min("r").alias("m"))
         smaller = stars.join(least, "n").select(F.explode(F.array(F.struct("n", F.col("m").alias("r")), F.struct(F.col("r").alias("n"), F.col("m").alias("r")))).alias("x")).select("x.*")  # small star
         after = cut(smaller.where("n <> r").distinct())
-        if not _differ(pairs, after):
+        digest = _digest(after)
+        if digest == before:
             return after.select(F.col("n").alias("node"), F.col("r").alias("root")).unionByName(after.select(F.col("r").alias("node"), F.col("r").alias("root")).distinct())
-        pairs = after
+        pairs, before = after, digest
 
 
-def _differ(before: DataFrame, after: DataFrame) -> bool:
-    digest = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("n", "r")), F.bit_xor(F.xxhash64("r", F.lit(1), "n"))).first()
-    return tuple(digest(before)) != tuple(digest(after))
+def _digest(pairs: DataFrame) -> tuple:
+    return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("n", "r")), F.bit_xor(F.xxhash64("r", F.lit(1), "n"))).first())

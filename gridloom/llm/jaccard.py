@@ -317,7 +317,7 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragmen
     if second.limit(1).count():
         more = cut(linked(second))
         if more.limit(1).count():
-            roots = components(links.unionByName(more))
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     classes = profile.where("n is not null").select("doc_id", "sid", F.col("n").alias("n_shingles"))
     ids = classes.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"))

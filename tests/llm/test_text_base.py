@@ -64,3 +64,22 @@ def test_components(spark, edges):
         parent[max(a, b)] = min(a, b)
     found = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert found == {x: find(x) for e in edges for x in e if e[0] != e[1]}
+
+
+def test_a_cut_collects_the_drivers_garbage_if_much_is_taken(spark):
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    full = lambda: sum(b.getCollectionCount() for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName())
+    used = lambda: heap.totalMemory() - heap.freeMemory()
+    jvm.java.lang.System.gc()
+    before = full()
+    assert used() <= heap.maxMemory() // 10
+    common.cut(spark.range(3).toDF("id"))
+    assert full() == before  # little is taken, so nothing is collected
+    held = []
+    while used() <= heap.maxMemory() // 4:
+        held.append(spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 1600, 10_000))
+    before = full()
+    rows = common.cut(spark.range(3).toDF("id"))
+    assert full() > before
+    assert len(held[0]) == 1600 and sorted(r.id for r in rows.collect()) == [0, 1, 2]
